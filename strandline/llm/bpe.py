@@ -7,7 +7,7 @@ start at each byte. The encoder takes the longest token and steps back to a shor
 wherever a token can't stand beside the one before it: two adjacent tokens are
 compatible if merging their joined bytes gives just these two, and a sequence of which
 all neighbours are compatible is the one that merging by rank gives. Compatibility and
-encodings of pretokens are memoised per worker.
+encodings are memoised per worker, of pretokens and of what stands between two spaces.
 
 Per-partition work, no shuffle; every text is encoded whole.
 """
@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -37,8 +38,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Pretokens whose encoding a worker remembers; beyond, it forgets all and starts anew.
 MEMO = 300_000
-#: Pretokens of more bytes aren't remembered.
-MEMO_BYTES = 64
+_SPACES = re.compile(r" \s").search
+
+#: Longer ones, in characters, aren't remembered.
+MEMO_CHARS = 64
 
 
 class Encoder:
@@ -53,26 +56,48 @@ class Encoder:
         self.automaton.make_automaton()
         self.bytes_of = {rank: token for token, rank in self.rank.items()}
         self.split = regex.compile(PATTERN).findall
+        self.halves: dict[bytes, tuple[bytes, bytes]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.memo = _Memo(self.encode)
-
-    def merged(self, raw: bytes) -> list[bytes]:
-        """Merging by rank, straight from the definition; for the few bytes of two tokens."""
-        parts = [raw[i : i + 1] for i in range(len(raw))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.rank:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return parts
+        self.tokens = self.mapper(self.encode)
+
+    def made_of(self, token: bytes) -> tuple[bytes, bytes]:
+        """The two tokens of which merging by rank makes a token of more than one byte at last."""
+        known = self.halves.get(token)
+        if known is None:
+            parts = [token[i : i + 1] for i in range(len(token))]
+            while len(parts) > 2:
+                best = min(range(len(parts) - 1), key=lambda i: self.rank.get(parts[i] + parts[i + 1], 1 << 60))
+                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            known = self.halves[token] = tuple(parts)
+        return known
 
     def compatible(self, left: int, right: int) -> bool:
+        """Whether merging the joined bytes of two tokens gives just these two.
+
+        Merges are undone backwards, the highest rank first (of equal ranks the right
+        one, which was made later). A merge across the border that comes before the one
+        just undone would have been made instead.
+        """
         known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) > 4 * MEMO:
-                self.fits.clear()
-            a, b = self.bytes_of[left], self.bytes_of[right]
-            known = self.fits[left, right] = self.merged(a + b) == [a, b]
+        if known is not None:
+            return known
+        if len(self.fits) > 4 * MEMO:
+            self.fits.clear()
+        rank, a, b, before = self.rank, self.bytes_of[left], self.bytes_of[right], 1 << 60
+        while True:
+            across = rank.get(a + b)
+            if across is not None and across < before:
+                known = False
+                break
+            ra, rb = (rank[a] if len(a) > 1 else -1), (rank[b] if len(b) > 1 else -1)
+            if ra > rb:
+                before, a = ra, self.made_of(a)[1]
+            elif rb >= 0:
+                before, b = rb + 1, self.made_of(b)[0]
+            else:
+                known = True
+                break
+        self.fits[left, right] = known
         return known
 
     def encode(self, pretoken: str) -> tuple[int, ...]:
@@ -111,8 +136,22 @@ class Encoder:
                 length, _ = path.pop()
                 at -= length
 
-    def tokens(self, text: str) -> Iterator[int]:
-        return chain.from_iterable(map(self.memo.__getitem__, self.split(text)))
+    def mapper(self, make: Callable[[str], tuple]) -> Callable[[str], Iterator]:
+        """A function that gives a text's pretokens' make(pretoken), one after the other.
+
+        Where no space is followed by white space, what stands between two spaces splits
+        into pretokens by itself, with the space before it; so that is remembered too.
+        """
+        of_word = _Memo(make)
+        of_chunk = _Memo(lambda chunk: tuple(chain.from_iterable(map(of_word.__getitem__, self.split(" " + chunk)))))
+
+        def each(text: str) -> Iterator:
+            if _SPACES(text):
+                return chain.from_iterable(map(of_word.__getitem__, self.split(text)))
+            first, *rest = text.split(" ")
+            return chain(chain.from_iterable(map(of_word.__getitem__, self.split(first))), chain.from_iterable(map(of_chunk.__getitem__, rest)))
+
+        return each
 
 
 class _Memo(dict):
@@ -124,7 +163,7 @@ class _Memo(dict):
 
     def __missing__(self, word: str):
         value = self.make(word)
-        if len(word) <= MEMO_BYTES:
+        if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO:
                 self.clear()
             self[word] = value

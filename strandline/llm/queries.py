@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.bpe import encode_column
+from strandline.llm.leaks import find_leaks
+from strandline.llm.spans import MIN_CHARS, linked_records, shared_share, shared_spans, text_classes
 from strandline.llm.split import split_oversized
 from strandline.operators.rows import once
 from strandline.sources.tables import table
@@ -27,5 +29,65 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.where(F.col("piece_no") == 2).select("doc_id")
 
 
-QUERIES = {"p8_ids": p8_ids, "p10_found": p10_found, "p10_pieces": p10_pieces}
-ORACLE: dict[str, str] = {}
+def edits_once(spark: SparkSession, sf: str) -> DataFrame:
+    """(rev, text) of each revision that has a text, repeated rows counted once."""
+    return once(table(spark, sf, "edits").where(F.col("text").isNotNull()), "rev", {"text": F.col("text")})
+
+
+def _spans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    reps, members = text_classes(table(spark, sf, "edits"), key="rev", text="text", min_chars=MIN_CHARS)
+    return reps, members, shared_spans(reps)
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """(rev_a, rev_b): revisions that share at least 160 consecutive characters."""
+    _, members, spans = _spans(spark, sf)
+    return linked_records(spans, members).select(F.col("id_a").alias("rev_a"), F.col("id_b").alias("rev_b"))
+
+
+def p6_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """(rev_a, rev_b, begin_a, begin_b, n_chars): each shared span of the representatives of different texts."""
+    return _spans(spark, sf)[2].withColumnsRenamed({"rep_a": "rev_a", "rep_b": "rev_b"})
+
+
+def p6_shared(spark: SparkSession, sf: str) -> DataFrame:
+    """(rev, class_id, n_copies, n_links, shared_chars, shared_share) of each revision."""
+    return shared_share(*_spans(spark, sf)).withColumnRenamed("id", "rev")
+
+
+def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, item_id, errors, at_word) with up to one word edit in a window of 15."""
+    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), doc_id="doc_id", doc_text="text", item_id="item_id", item_text="text", max_errors=1)
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, item_id): documents with at least 15 consecutive words of an item."""
+    leaks = find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), doc_id="doc_id", doc_text="text", item_id="item_id", item_text="text")
+    return leaks.select("doc_id", "item_id")
+
+
+QUERIES = {
+    "p6_found": p6_found,
+    "p6_spans": p6_spans,
+    "p6_shared": p6_shared,
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
+    "p10_found": p10_found,
+    "p10_pieces": p10_pieces,
+}
+
+ORACLE: dict[str, str] = {
+    "p6_found": """
+WITH e AS (SELECT rev, min(text) AS text FROM edits WHERE text IS NOT NULL GROUP BY rev),
+g AS (SELECT rev, substring(text, CAST(i AS BIGINT), 160) AS s FROM e, unnest(generate_series(1, length(text) - 159)) AS u(i) WHERE length(text) >= 160),
+h AS (SELECT rev, s FROM g WHERE s IN (SELECT s FROM g GROUP BY s HAVING count(DISTINCT rev) > 1))
+SELECT DISTINCT a.rev AS rev_a, b.rev AS rev_b FROM h a JOIN h b ON a.s = b.s AND a.rev < b.rev""",
+    "p9_found": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '\p{Cf}', '', 'g')), '[\p{L}\p{N}]+') AS words FROM documents WHERE text IS NOT NULL),
+v AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(text, '\p{Cf}', '', 'g')), '[\p{L}\p{N}]+') AS words FROM eval_items),
+d AS (SELECT doc_id, array_to_string(words[i : i + 14], ' ') AS s FROM w, unnest(generate_series(1, len(words) - 14)) AS u(i)),
+t AS (SELECT item_id, array_to_string(words[i : i + 14], ' ') AS s FROM v, unnest(generate_series(1, len(words) - 14)) AS u(i))
+SELECT DISTINCT doc_id, item_id FROM d JOIN t USING (s)""",
+}

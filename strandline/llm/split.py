@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.bpe import VOCABULARIES, VOCABULARY, _Memo, encoder
+from strandline.llm.bpe import VOCABULARIES, VOCABULARY, encoder
 
 LIMIT = 1_024
 OVERLAP = 64
@@ -63,9 +63,9 @@ class Splitter:
         if not 0 <= overlap < limit // 2:
             raise ValueError("the overlap must be less than half of the limit")
         self.encoder, self.limit, self.overlap = encoder(folder, name), limit, overlap
-        self.memo = _Memo(self.features)
+        self.packed = self.encoder.mapper(self.features)
 
-    def features(self, word: str) -> int:
+    def features(self, word: str) -> tuple[int]:
         """Tokens, characters and class of a pretoken in one integer."""
         if word.isspace():
             breaks = word.count("\n") + word.count("\r") - word.count("\r\n")
@@ -73,15 +73,14 @@ class Splitter:
         else:
             kind = _SENTENCE_END if _ENDS_SENTENCE.search(word) else _CLAUSE_END if _ENDS_CLAUSE.search(word) else _WORD
             kind |= _SPACED * (word[0] == " ")
-        return len(self.encoder.encode(word)) << 40 | len(word) << 8 | kind
+        return (len(self.encoder.encode(word)) << 40 | len(word) << 8 | kind,)
 
     def items(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens and characters of each item, and the strength of the boundary after it."""
-        words = self.encoder.split(text)
-        packed = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        packed = np.fromiter(self.packed(text), np.int64)
         tokens, chars, kind = packed >> 40, packed >> 8 & 0xFFFFFFFF, packed & 0xFF
-        strength = np.zeros(len(words), np.int64)
-        if len(words) > 1:
+        strength = np.zeros(len(packed), np.int64)
+        if len(packed) > 1:
             a, b = kind[:-1], kind[1:]
             what, spaced, blank = a & 7, b >= _SPACED, (b >= _BLANK) & (b < _SPACED)
             s = np.where(spaced, SPACE, NONE)
@@ -94,7 +93,7 @@ class Splitter:
             strength[:-1] = np.where(blank, NONE, s)
         most = max(1, min(self.overlap or self.limit, self.limit) // 4)
         if (tokens > most).any():
-            tokens, chars, strength = self.broken(words, tokens, chars, strength, most)
+            tokens, chars, strength = self.broken(self.encoder.split(text), tokens, chars, strength, most)
         return tokens, chars, strength
 
     def broken(self, words, tokens, chars, strength, most):
