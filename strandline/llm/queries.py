@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.bpe import encode_column
+from strandline.llm.encoding import repair_encoding
 from strandline.llm.leaks import find_leaks
+from strandline.llm.markup import clean_markup
+from strandline.llm.pii import redact
 from strandline.llm.spans import MIN_CHARS, linked_records, shared_share, shared_spans, text_classes
 from strandline.llm.split import split_oversized
 from strandline.operators.rows import once
@@ -34,6 +37,36 @@ def edits_once(spark: SparkSession, sf: str) -> DataFrame:
     return once(table(spark, sf, "edits").where(F.col("text").isNotNull()), "rev", {"text": F.col("text")})
 
 
+def p2_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """(rev, restored, pairs, complete) of each revision with garbled text."""
+    return repair_encoding(edits_once(spark, sf), key="rev", text="text")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """(rev) of each revision with garbled text."""
+    return p2_restored(spark, sf).select("rev")
+
+
+def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """(rev, redacted, found) of each revision with personal information."""
+    return redact(edits_once(spark, sf), key="rev", text="text")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """(rev, kind), a row for each kind of personal information in a revision."""
+    return p5_redacted(spark, sf).select("rev", F.explode(F.array_distinct("found.kind")).alias("kind"))
+
+
+def p7_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """(rev, clean, structure, kinds) of each revision with markup."""
+    return clean_markup(edits_once(spark, sf), key="rev", text="text")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """(rev, kind), a row for each kind of markup in a revision."""
+    return p7_clean(spark, sf).select("rev", F.explode("kinds").alias("kind"))
+
+
 def _spans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     reps, members = text_classes(table(spark, sf, "edits"), key="rev", text="text", min_chars=MIN_CHARS)
     return reps, members, shared_spans(reps)
@@ -67,6 +100,12 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_restored": p2_restored,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
+    "p7_found": p7_found,
+    "p7_clean": p7_clean,
     "p6_found": p6_found,
     "p6_spans": p6_spans,
     "p6_shared": p6_shared,
