@@ -9,6 +9,7 @@ from strandline.llm.bpe import encode_column
 from strandline.llm.encoding import repair_encoding
 from strandline.llm.leaks import find_leaks
 from strandline.llm.markup import clean_markup
+from strandline.llm.names import entity_pairs, link_names
 from strandline.llm.pii import redact
 from strandline.llm.spans import MIN_CHARS, linked_records, shared_share, shared_spans, text_classes
 from strandline.llm.split import split_oversized
@@ -47,6 +48,16 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_restored(spark, sf).select("rev")
 
 
+def p4_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, entity): the entity of each profile, named by its least id."""
+    return link_names(table(spark, sf, "profiles"), key="id", name="name", family="primary_family", families="families")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """(id_a, id_b): all pairs of profiles that mean the same."""
+    return entity_pairs(p4_entities(spark, sf))
+
+
 def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """(rev, redacted, found) of each revision with personal information."""
     return redact(edits_once(spark, sf), key="rev", text="text")
@@ -102,6 +113,8 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_restored": p2_restored,
+    "p4_found": p4_found,
+    "p4_entities": p4_entities,
     "p5_found": p5_found,
     "p5_redacted": p5_redacted,
     "p7_found": p7_found,
