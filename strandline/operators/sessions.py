@@ -28,38 +28,33 @@ def sessionize(events: DataFrame, *, key: str, time: str, gap_s: int = GAP_S, we
     columns other than the named ones are ignored.
     """
     w = F.lit(1) if weight is None else weight
-    points = (
-        events.where(F.col(key).isNotNull() & F.col(time).isNotNull())
-        .groupBy(F.col(key).alias("k"), F.col(time).cast("bigint").alias("t"))
-        .agg(F.sum(w).cast("bigint").alias("n"))
-    )
-    deltas = points.select(
+    each = events.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(key).alias("k"), F.col(time).cast("bigint").alias("t"), w.cast("bigint").alias("n"))
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    deltas = each.select(
         "k",
         F.explode(
             F.array(
-                F.struct(F.col("t").alias("t"), F.lit(1).cast("bigint").alias("up"), F.lit(0).cast("bigint").alias("down"), F.col("n").alias("n")),
-                F.struct((F.col("t") + gap_s).alias("t"), F.lit(0).cast("bigint").alias("up"), F.lit(1).cast("bigint").alias("down"), F.lit(0).cast("bigint").alias("n")),
+                F.struct(F.col("t").alias("t"), one.alias("up"), zero.alias("down"), F.col("n").alias("n")),
+                F.struct((F.col("t") + gap_s).alias("t"), zero.alias("up"), one.alias("down"), zero.alias("n")),
             )
         ).alias("d"),
-    ).select("k", "d.*").withColumn("b", F.floor(F.col("t") / bucket_s))
-    steps = deltas.groupBy("k", "b", "t").agg(F.sum("up").alias("up"), F.sum("down").alias("down"), F.sum("n").alias("n"))
+    ).select("k", F.floor(F.col("d.t") / bucket_s).alias("b"), "d.*")
+    # Rows meet by (key, bucket) once; the sums by time, the join with what is carried over and the sweep all keep that partitioning.
+    # However many events a key has at one time, they open it once.
+    steps = deltas.repartition("k", "b").groupBy("k", "b", "t").agg(F.max("up").alias("up"), F.max("down").alias("down"), F.sum("n").alias("n"))
 
     before = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     sums = steps.groupBy("k", "b").agg(F.sum(F.col("up") - F.col("down")).alias("open"), F.sum("n").alias("n"))
-    carry = sums.select("k", "b", F.coalesce(F.sum("open").over(before), F.lit(0)).alias("open"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"))
+    carry = sums.select("k", "b", F.coalesce(F.sum("open").over(before), zero).alias("open"), F.coalesce(F.sum("n").over(before), zero).alias("n_open"))
 
-    rows = steps.unionByName(
-        carry.select("k", "b", (F.col("b") * bucket_s - 1).cast("bigint").alias("t"), F.col("open").alias("up"), F.lit(0).cast("bigint").alias("down"), "n")
-    )
     local = Window.partitionBy("k", "b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    swept = rows.select(
+    swept = steps.join(carry, ["k", "b"]).select(
         "k", "t", "up", "down", "n",
-        F.sum(F.col("up") - F.col("down")).over(local).alias("after"),
-        F.sum("n").over(local).alias("n_after"),
-        (F.col("t") < F.col("b") * bucket_s).alias("carried"),
+        (F.col("open") + F.sum(F.col("up") - F.col("down")).over(local)).alias("after"),
+        (F.col("n_open") + F.sum("n").over(local)).alias("n_after"),
     )
     # A session starts where the sum was zero before an addition, and closes where it is zero afterwards.
-    edges = swept.where(~F.col("carried")).select(
+    edges = swept.select(
         "k", "t", "n_after",
         ((F.col("up") > 0) & (F.col("after") - F.col("up") + F.col("down") == 0)).alias("starts"),
         (F.col("after") == 0).alias("closes"),
