@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from strandline.plans import problems
+from strandline.plans import edits, events, problems, reads, tpch
 
-MODULES = (problems,)
+MODULES = (problems, events, edits, reads, tpch)
 
-FLAGSHIP = problems.p1_found
+FLAGSHIP = events.exposure_mh
 
 
 def queries() -> dict:
