@@ -105,14 +105,14 @@ _RULES = [
     (WIKI, _rx(rf"__(?:{'|'.join(MAGIC_WORDS.split())})__[ \t]*\n?"), _plain("")),
     (WIKI, _rx(r"(?<!~)~{4,5}(?!~)"), _plain("")),
     # Headings.
-    (WIKI, _rx(r"^(={1,6})[ \t]*(?=[^=\s])([^\n]*[^=\s])[ \t]*\1[ \t]*$"), _mark(_HEAD, r"\2")),
-    (MARKDOWN, _rx(r"^ {0,3}#{1,6}[ \t]+(\S[^\n]*?)[ \t]*#*[ \t]*$"), _mark(_HEAD, r"\1")),
+    (WIKI, _rx(r"^(={1,6})(?=[^=\n])(?=[^\n]*\w)([^\n]*[^=\n])\1[ \t]*$"), _mark(_HEAD, r"\2")),
+    (MARKDOWN, _rx(r"^ {0,3}#{1,6}[ \t]+(\S[^\n]*)$"), lambda m, s: f"{s}{_HEAD}{s}" + m[1].rstrip().rstrip("#").rstrip()),
     (MARKDOWN, _rx(r"^(?=[^\n]*\w)([^\s\-=>#|][^\n]*)\n(?:={3,}|-{3,})[ \t]*$"), _mark(_HEAD, r"\1")),
     (LATEX, _rx(r"\\(?:part|chapter|(?:sub)*section|(?:sub)?paragraph|title)\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}"), _mark(_HEAD, r"\1")),
     (HTML, _rx(r"<h([1-6])\b[^<>]*>([^\n]*?)</h\1>", re.I), _mark(_HEAD, r"\2")),
     # Lists and quotations. Deeper wiki lists and marked-up items are markup; lone stars and dashes are only structure.
     (WIKI, _rx(r"^(?:[*#:;]{2,8})[ \t]*(?=[^\s*#:;])([^\n]*)$"), _mark(_ITEM, r"\1")),
-    (HTML, _rx(r"\n?<li\b[^<>]*>[ \t]*(.*?)[ \t]*(?:</li>)?(?=\n|<li\b|</[uo]l\b|</li>|\Z)", re.I), lambda m, s: f"\n{s}{_ITEM}{s}{m[1]}"),
+    (HTML, _rx(r"\n?<li\b[^<>]*>(.*?)(?:</li>|(?=\n|<li\b|</[uo]l\b|\Z))", re.I), lambda m, s: f"\n{s}{_ITEM}{s}{m[1].strip()}"),
     (LATEX, _rx(r"^[ \t]*\\item(?:\[[^\]\n]*\])?[ \t]*([^\n]*)$"), _mark(_ITEM, r"\1")),
     (MARKDOWN, _rx(r"^ {0,3}>[ \t]?(?=\S)"), _plain("")),
     # Table rows of HTML and of wiki text, the latter only where a table was opened.

@@ -48,6 +48,8 @@ FIELDS = "archives climate culture data education energy finance fisheries fores
 EMPTY = {"the", "of", "for", "f", "and", "de", "la", "le", "du", "des", "von", "van", "der", "a"}
 TITLES = {"dr", "mr", "mrs", "ms", "prof", "herr", "frau", "miss", "sir", "agent", "bot", "mme", "jr", "sr"}
 _DATE = re.compile(r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\d{1,4}$|[\s_\-](?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]{0,6}\.?[\s_\-]?\d{1,4}$")
+#: Letters of a token beyond which only an equal one is the same.
+LONGEST = 40
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[A-Z]")
 
 
@@ -61,7 +63,7 @@ def edits(a: str, b: str) -> int:
     """Optimal string alignment distance: insert, delete, replace, swap neighbours; 3 if it is more than 2."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > 2:
+    if abs(len(a) - len(b)) > 2 or max(len(a), len(b)) > LONGEST:
         return 3
     two, one, now = [], list(range(len(b) + 1)), []
     for i, x in enumerate(a, 1):
@@ -76,7 +78,9 @@ def edits(a: str, b: str) -> int:
 
 
 def deletions(token: str) -> list[str]:
-    """The token and every form of it with one letter less: two tokens one edit apart share one of them."""
+    """The token and every form of it with one letter less: two tokens one edit apart share one of them. Those of over 40 letters must be equal."""
+    if len(token) > LONGEST:
+        return [token]
     return sorted({token, *(token[:i] + token[i + 1 :] for i in range(len(token)))})
 
 
@@ -266,7 +270,7 @@ def link_names(df: DataFrame, *, key: str, name: str, family: str, families: str
     near = (
         forms.alias("x").join(forms.alias("y"), ["kind", "form"])
         .select("kind", F.col("x.anchor").alias("anchor_a"), F.col("y.anchor").alias("anchor_b")).distinct()
-        .where((F.col("anchor_a") == F.col("anchor_b")) | (F.levenshtein("anchor_a", "anchor_b") <= 2))
+        .where((F.col("anchor_a") == F.col("anchor_b")) | (F.levenshtein("anchor_a", "anchor_b", 2) >= 0))
     )
     near = durable(near)
 

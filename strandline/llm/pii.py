@@ -39,7 +39,7 @@ BATCH = 512
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\s]|\n")
 _NUMBER = re.compile(r"[(+]{0,2}[A-Z]{0,2}\d[A-Z\d]*(?:(?:[ \-./]{1,2}|\) ?| ?\()(?:[A-Z]{0,4}\d[A-Z\d]*|[A-Z]{1,4})(?![a-z]))*")
 _EMAIL = re.compile(
-    r"(?:mailto:)?[\w.+\-]+(?:@|%40|\[@\]|\s@\s|\s?[(\[{]\s?(?:at|@)\s?[)\]}]\s?|\sat\s(?=[\w\-]+(?:\sdot\s[\w\-]+)+))[\w\-]+(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)[\w\-]+)*", re.I
+    r"(?<![\w.+\-])(?:mailto:)?[\w.+\-]+(?:@|%40|\[@\]|\s@\s|\s?[(\[{]\s?(?:at|@)\s?[)\]}]\s?|\sat\s(?=[\w\-]+(?:\sdot\s[\w\-]+)+))[\w\-]+(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)[\w\-]+)*", re.I
 )
 _URL = re.compile(r"(?:\b[a-z]{2,6}:)?//\S+|\bwww\.\S+", re.I)
 _SIGNOFF = re.compile(r"(?:^|\s)-- ?\S[^\n]*$", re.M)
