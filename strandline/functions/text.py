@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 # Month names as they stand in names and tags.
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 MONTH_DAY = r"(?i)(?<![a-z])(" + "|".join(MONTHS) + r")[a-z]*\s?(\d{1,2})(?!\d)"
+MONTH_DAY_IN_NAME = "(?:" + "|".join(m.capitalize() for m in MONTHS) + r")[a-z]*\d{1,2}"
 # Fixed value: the end of a line that a writer signed: `-- Name`, with an optional `?` or a short tag in brackets.
 SIGNED = r"(?:^|\s)--\s*([A-Za-z][\w.\-]{2,})\s*(?:\?|[\[(][^\])]{1,40}[\])])?\s*$"
 # What is scrubbed.
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])"
 IPV6 = r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{0,4}(?![0-9A-Fa-f:])"
-EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
+EMAIL = r"(?<![\w.+-])[\w.+-]+@[\w-]+\.[\w.-]+"
 
 
 def skeleton(text: Column) -> Column:
@@ -51,7 +52,7 @@ def date_tags(text: Column) -> Column:
 
 def alias_key(name: Column) -> Column:
     """A name without its date, case and trailing signs: equal for the aliases of one writer."""
-    bare = F.regexp_replace(F.lower(F.regexp_replace(name, MONTH_DAY, "")), r"[x_.\-]+$", "")
+    bare = F.regexp_replace(F.lower(F.regexp_replace(name, MONTH_DAY_IN_NAME, "")), r"[x_.\-]+$", "")
     return F.coalesce(F.nullif(bare, F.lit("")), F.lower(name))
 
 

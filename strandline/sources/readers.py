@@ -34,7 +34,7 @@ def tsv(spark: SparkSession, path: str, schema: str, escaped: bool = False) -> D
         out = F.regexp_replace(c, r"\\\\", mark)
         for sign, to in (("t", "\t"), ("n", "\n"), ("r", "\r")):
             out = F.regexp_replace(out, rf"\\{sign}", to)
-        return F.regexp_replace(out, mark, r"\\\\")
+        return F.regexp_replace(out, mark, r"\\")
 
     return df.withColumns({c: plain(F.col(c)) for c in strings})
 

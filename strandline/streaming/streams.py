@@ -11,8 +11,8 @@ def files(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> DataF
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def sessions(events: DataFrame, *, key: str, time: str, gap: str = "1801 seconds", late: str = "1 hour") -> DataFrame:
-    """(key, start, end, n_events): sessions closed by inactivity and the watermark. The window's gap is exclusive, so 1801 keeps events 1,800 s apart together."""
+def sessions(events: DataFrame, *, key: str, time: str, gap: str = "1800 seconds", late: str = "1 hour") -> DataFrame:
+    """(key, start, end, n_events): sessions closed by inactivity and the watermark. Events exactly the gap apart stay together."""
     w = F.session_window(time, gap)
     grouped = events.withWatermark(time, late).groupBy(w.alias("w"), key).agg(F.count(F.lit(1)).alias("n_events"), F.min(time).alias("start"), F.max(time).alias("end"))
     return grouped.select(key, "start", "end", "n_events")
