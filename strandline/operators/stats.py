@@ -89,23 +89,33 @@ def leave_one_out(rows: DataFrame, *, row: str, group: str, candidate: str, trai
     """(row, group, candidate, credit): how well the trait of each row tells its candidate from the others of its group.
 
     A candidate's score is its share of the trait over all its other rows, with 0.5 added to each count over the traits that
-    exist; the best of the group's candidates get 1 between them. Groups of one candidate are left out. Counts are aggregates; rows
-    meet only the candidates of their own group.
+    exist; the best of the group's candidates get 1 between them. Groups of one candidate are left out; so are rows with a null.
+
+    Only a row's own candidate loses the row from its counts, so the others' scores hang on (candidate, trait) alone. The two best scores of each
+    group and trait, with how many have them, are aggregates of candidates times traits; rows never meet candidates.
     """
     r = rows.select(F.col(row).alias("r"), F.col(group).alias("g"), F.col(candidate).alias("c"), F.col(trait).alias("f")).where("r IS NOT NULL AND g IS NOT NULL AND c IS NOT NULL AND f IS NOT NULL")
     by_trait = r.groupBy("c", "f").agg(F.count(F.lit(1)).alias("n_f"))
     totals = r.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    vocabulary = r.agg(F.countDistinct("f").alias("v"))
-    members = r.select("g", F.col("c").alias("k")).distinct()
+    vocabulary = r.agg(F.countDistinct("f").alias("v"))  # one row
+    members, traits = r.select("g", "c").distinct(), r.select("g", "f").distinct()
     many = members.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= 2).select("g")
-    options = r.join(many, "g").join(members, "g").join(by_trait.withColumnsRenamed({"c": "k"}), ["k", "f"], "left").join(totals.withColumnRenamed("c", "k"), "k").crossJoin(F.broadcast(vocabulary))
-    self_ = (F.col("k") == F.col("c")).cast("int")
-    score = (F.coalesce("n_f", F.lit(0)) - self_ + 0.5) / (F.col("n") - self_ + 0.5 * F.col("v"))
-    scored = options.withColumn("score", score)
-    best = scored.groupBy("r").agg(F.max("score").alias("best"))
-    top = scored.join(best, "r").where(F.col("score") == F.col("best"))
-    return top.groupBy("r", "g", "c").agg(F.max(F.when(F.col("k") == F.col("c"), 1.0).otherwise(0.0)).alias("won"), F.count(F.lit(1)).alias("tied")).select(
-        F.col("r").alias(row), F.col("g").alias(group), F.col("c").alias(candidate), (F.col("won") / F.col("tied")).alias("credit"))
+    scores = (
+        members.join(many, "g").join(traits, "g").join(by_trait, ["c", "f"], "left").join(totals, "c").crossJoin(F.broadcast(vocabulary))
+        .withColumn("score", (F.coalesce("n_f", F.lit(0)) + 0.5) / (F.col("n") + 0.5 * F.col("v")))
+    )
+    counted = scores.groupBy("g", "f", "score").agg(F.count(F.lit(1)).alias("k"))
+    first = counted.groupBy("g", "f").agg(F.max(F.struct("score", "k")).alias("one"))
+    second = counted.join(first, ["g", "f"]).where(F.col("score") < F.col("one.score")).groupBy("g", "f").agg(F.max(F.struct("score", "k")).alias("two"))
+    best = first.join(second, ["g", "f"], "left")
+    own = r.join(best, ["g", "f"]).join(by_trait, ["c", "f"]).join(totals, "c").crossJoin(F.broadcast(vocabulary))
+    with_row = (F.col("n_f") + 0.5) / (F.col("n") + 0.5 * F.col("v"))
+    without = (F.col("n_f") - 1 + 0.5) / (F.col("n") - 1 + 0.5 * F.col("v"))
+    alone_best = (with_row == F.col("one.score")) & (F.col("one.k") == 1)
+    rival = F.when(alone_best, F.col("two.score")).otherwise(F.col("one.score"))
+    rivals = F.when(alone_best, F.col("two.k")).otherwise(F.col("one.k") - (with_row == F.col("one.score")).cast("int"))
+    credit = F.when(rival.isNull() | (without > rival), 1.0).when(without == rival, 1.0 / (rivals + 1)).otherwise(0.0)
+    return own.select(F.col("r").alias(row), F.col("g").alias(group), F.col("c").alias(candidate), credit.alias("credit"))
 
 
 def circular_gap(a: Column, b: Column, period: int = 86_400) -> Column:
