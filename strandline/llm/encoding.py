@@ -219,10 +219,9 @@ def labels(text: str, points: np.ndarray, clean: np.ndarray) -> tuple[list[int],
         whole = "".join(decoded) + text[at:]
         stands = standing(_points(whole))
         for (begin, end, c), (where, width) in zip(units, starts):
-            emit[index[begin], s] = max(float(stands[where : where + width].sum()), UNIT if end - begin > 1 else IMPOSSIBLE)
-            for p in range(begin + 1, end):
-                if p in index:
-                    emit[index[p], s] = 0.0
+            # Its characters share the unit's probability, so that none is left out for being dear alone.
+            own_places = [index[p] for p in range(begin, end) if p in index]
+            emit[own_places, s] = max(float(stands[where : where + width].sum()), UNIT if end - begin > 1 else IMPOSSIBLE) / len(own_places)
     # Viterbi: staying costs nothing, another state costs ENTER or LEAVE.
     score = emit[0] + np.where(np.arange(states) == 0, 0.0, ENTER)
     back = np.zeros((n, states), np.int16)
@@ -232,7 +231,10 @@ def labels(text: str, points: np.ndarray, clean: np.ndarray) -> tuple[list[int],
         switch = np.where(everyone == 0, LEAVE, (ENTER if best == 0 else ENTER + LEAVE))
         moved = score[best] + switch
         from_clean = score[0] + np.where(everyone == 0, 0.0, ENTER)
-        origin = np.where(score >= np.maximum(moved, from_clean), everyone, np.where(from_clean >= moved, 0, best))
+        # Of equal paths the one that leaves a pair's state last: letters that could be either belong to the span before them.
+        other = np.maximum(moved, from_clean)
+        stays = np.where(everyone == 0, score > moved, score >= other)
+        origin = np.where(stays, everyone, np.where((everyone > 0) & (from_clean >= moved), 0, best))
         back[i] = origin
         score = np.maximum(score, np.maximum(moved, from_clean)) + emit[i]
     path = np.zeros(n, np.int64)
