@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ipaddress
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,6 +79,22 @@ def net24(ip: Column) -> Column:
     return F.when(ok, F.concat(F.regexp_extract(ip, r"^(\d+\.\d+\.\d+)\.", 1), F.lit(".0/24")))
 
 
+def network(ip: Column, v4: int = 24, v6: int = 48) -> Column:
+    """The network of an address of either version, in Arrow batches as version 6 has no expression; null if it is none."""
+
+    def prefix(value: str | None) -> str | None:
+        try:
+            version = ipaddress.ip_address(value or "").version
+            return str(ipaddress.ip_network(f"{value}/{v4 if version == 4 else v6}", strict=False))
+        except ValueError:
+            return None
+
+    def read(values: pd.Series) -> pd.Series:
+        return values.map(prefix)
+
+    return F.pandas_udf(read, "string")(ip)
+
+
 def keyed_digest(value: Column, key: bytes, length: int) -> Column:
     """The first ``length`` hex digits of HMAC-SHA256 with a key that is never stored (at most 64 bytes)."""
     padded = key.ljust(64, b"\0")

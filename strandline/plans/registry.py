@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandline.plans import edits, events, problems, reads, tpch
+from strandline.plans import behaviour, edits, events, problems, reads, tpch
 
-MODULES = (problems, events, edits, reads, tpch)
+MODULES = (problems, events, edits, behaviour, reads, tpch)
 
 FLAGSHIP = events.exposure_mh
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text as tx
 from strandline.functions import web
-from strandline.operators import band, exposure, lines, matching, review, stats, windows
+from strandline.operators import band, exposure, lines, matching, review, stats, trajectories, windows
 from strandline.operators.claims import contradictions, read_claims
 from strandline.operators.components import connected_components
 from strandline.operators.rows import once
@@ -231,3 +231,40 @@ def test_components(spark):
     want = sorted((x, find(x)) for x in parent)
     assert rows(connected_components(spark.createDataFrame(pairs, "a string, b string"), "a", "b")) == want
     assert connected_components(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
+
+
+def test_networks(spark):
+    df = spark.createDataFrame([("10.1.2.3",), ("2001:db8:1:2::9",), ("nope",), ("",), (None,)], "ip string")
+    assert [r[0] for r in df.select(web.network(F.col("ip"))).collect()] == ["10.1.2.0/24", "2001:db8:1::/48", None, None, None]
+
+
+def test_assemble(spark):
+    e = spark.createDataFrame([("r1", "A", "family", "f", "p", 10, 1), ("r2", "A", "relay", "g", "p", 3610, 0), ("r3", "A", "other", None, "q", 1, None), ("r4", "B", "family", "f", "p", 1, 0), ("r5", None, "family", "f", "p", 1, 0)], "rev string, who string, scope string, fam string, page string, t long, copied int")
+    got = trajectories.assemble(e, name="who", scope="scope", family="fam", page="page", time="t", rev="rev", flag=F.col("copied") == 1).collect()
+    assert [(r.who, r.n_in_scope, r.n_family, r.n_relay, r.n_elsewhere, r.n_pages, r["first"], r["last"], r.span_hours, r.families, r.primary_family, r.n_flagged) for r in got] == [("A", 2, 1, 1, 1, 2, 10, 3610, 1.0, "f:1;g:1", "f", 1)]
+    assert trajectories.assemble(e.limit(0), name="who", scope="scope", family="fam", page="page", time="t", rev="rev").count() == 0
+
+
+def test_containment(spark):
+    targets = [("T", "RiverScoutMar13", "f", 0), ("T", "RiverScoutMar13", "f", 50_000), ("U", "LakeScoutMar14", None, 0), ("V", "BayMar15", "f", 0), ("W", "BayMar15X", "f", 0)]
+    ones = [("in", "ScoutMar13", "f", 86_400), ("late", "ScoutMar13", "f", 50_000 + 86_401), ("tag", "ScoutMar12", "f", 0), ("fam", "ScoutMar13", "g", 0), ("any", "LakeScoutMar14Agent", "z", 5), ("two", "BayMar15", "f", 1), ("null", None, "f", 1)]
+    got = trajectories.containment(spark.createDataFrame(ones, "rev string, name string, family string, t long"), spark.createDataFrame(targets, "target string, name string, family string, t long"))
+    assert rows(got) == [("any", "U"), ("in", "T")]
+
+
+def test_origin_keys_and_asked(spark):
+    one = lambda *xs: spark.createDataFrame([(x,) for x in xs], "x string")
+    got = trajectories.name_origin(one("a", "b", "c", "d", "e", None), name="x", signed=one("a", None), labels=one("a", "b"), titles=one("c"), texts=one("c", "d"))
+    assert rows(got) == [("a", "signoff"), ("b", "label"), ("c", "page title"), ("d", "post text"), ("e", "coined")]
+    k = spark.createDataFrame([("a", "k", 1), ("b", "k", 1), ("a", "k", 1), ("b", "m", 1), ("c", "k", 2), (None, "k", 1)], "w string, k string, n int")
+    assert rows(trajectories.shared_keys(k, writer="w", key=["k", "n"])) == [("a", "b", 1)]
+    r = spark.createDataFrame([(1, "p", "2", 10), (2, "p", "2", 4), (3, "p", "9", 10), (4, "p", "x", 10), (5, "p", None, 10), (6, "p", "99999999999", 10)], "r int, p string, q string, t long")
+    v = spark.createDataFrame([("p", 2, 5), ("p", 2, 5)], "p string, seq int, s long")
+    assert rows(trajectories.asked_revision(r, v, read="r", page="p", asked="q", time="t", seq="seq", saved="s").select("r", "how")) == [(1, "asked"), (2, "unresolved"), (3, "unresolved"), (6, "unresolved")]
+
+
+def test_conformity(spark):
+    p = spark.createDataFrame([(1, "a", "p", 100, ["x"]), (2, "b", "p", 90, ["y"]), (3, "c", "p", 50, ["x"]), (4, "a", "p", 99, ["x"]), (5, "b", "p", 100, ["x"]), (6, "d", "p", 300, ["z"]), (7, "e", "p", 100, [])], "i int, w string, p string, t long, v array<string>")
+    got = {r.side: (r.n_items, r.n_alike, r.n_nearest) for r in trajectories.conformity(p, post="i", agent="w", page="p", time="t", variants="v", back_s=60, ahead_s=60).collect()}
+    # Past: 1 sees y at 90 and x at 50; 2 sees x at 50; 4 sees y at 90 and x at 50; 5 sees x at 99 and at 50. Future: 2 sees x at 99 and 100; 3 sees y and x; 4 sees x at 100.
+    assert got == {"past": (4, 3, 1), "future": (3, 2, 1)}
