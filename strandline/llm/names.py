@@ -291,7 +291,7 @@ def link_names(df: DataFrame, *, key: str, name: str, family: str, families: str
 
     # Within a family, strong with strong.
     inside = a_near.where("strong_a").join(b.where("strong_b").withColumnRenamed("fam_b", "fam_a"), ["kind", "anchor_b", "fam_a"]).where("sig_a < sig_b")
-    strong_links = costed(inside)
+    strong_links = costed(inside)  # cut off in connected_components
     components = connected_components(strong_links, "sig_a", "sig_b")
     settled = durable(
         signatures.where("strong").select("sig").join(components.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("component", "sig").alias("entity"))
@@ -304,7 +304,7 @@ def link_names(df: DataFrame, *, key: str, name: str, family: str, families: str
     columns = ["sig_a", "sig_b", "kind", "anchor_a", "rest_a", "anchor_b", "rest_b"]
     fits = costed(at_home.select(*columns).unionByName(anywhere.select(*columns))).join(settled.withColumnRenamed("sig", "sig_b"), "sig_b")
     per_id = readings.withColumn("sig_a", sig).select("id", "sig_a")
-    options = per_id.join(fits, "sig_a").groupBy("id", "entity").agg(F.min("cost").alias("cost"))
+    options = durable(per_id.join(fits, "sig_a").groupBy("id", "entity").agg(F.min("cost").alias("cost")))
     nearest = options.withColumn("least", F.min("cost").over(Window.partitionBy("id"))).where(F.floor("cost") == F.floor("least"))
     attached = nearest.groupBy("id").agg(F.min("entity").alias("entity"), F.count(F.lit(1)).alias("n")).where("n = 1").select("id", "entity")
     strong_rows = per_id.join(settled.withColumnRenamed("sig", "sig_a"), "sig_a").groupBy("id").agg(F.min("entity").alias("entity"))
@@ -312,7 +312,7 @@ def link_names(df: DataFrame, *, key: str, name: str, family: str, families: str
 
     # What fits no strong entity: weak names with one another, in their family; those of none with what fits them in one family at most.
     options_of = options.select("id").distinct()
-    loose = per_id.join(options_of, "id", "left_anti").join(placed.select("id"), "id", "left_anti")
+    loose = durable(per_id.join(options_of, "id", "left_anti").join(placed.select("id"), "id", "left_anti"))
     loose_sigs = loose.select("sig_a").distinct()
     left = a_near.join(loose_sigs, "sig_a").where("NOT strong_a")
     right = b.where("NOT strong_b").join(loose_sigs.withColumnRenamed("sig_a", "sig_b"), "sig_b")
@@ -329,9 +329,9 @@ def link_names(df: DataFrame, *, key: str, name: str, family: str, families: str
     loose_components = connected_components(edges, "id", "head").select(F.col("node").alias("id"), F.concat(F.lit("\x1d"), "component").alias("entity"))
 
     grouped = placed.unionByName(loose_components)
-    every = rows.select("id").join(grouped, "id", "left").select("id", F.coalesce("entity", F.concat(F.lit("\x1c"), "id")).alias("e"))
+    every = durable(rows.select("id").join(grouped, "id", "left").select("id", F.coalesce("entity", F.concat(F.lit("\x1c"), "id")).alias("e")))
     heads = every.groupBy("e").agg(F.min("id").alias("entity"))
-    return every.join(heads, "e").select("id", "entity")
+    return durable(every.join(heads, "e").select("id", "entity"))
 
 
 def entity_pairs(linked: DataFrame) -> DataFrame:
