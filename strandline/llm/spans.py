@@ -71,12 +71,12 @@ def mixed(values: np.ndarray, seed: int) -> np.ndarray:
         return x ^ x >> np.uint64(31)
 
 
-def compact_windows(values: np.ndarray, least: int, gram: int = 1) -> list[tuple[int, int, int]]:
-    """(lo, c, hi), hi exclusive: nodes of the Cartesian tree whose range holds ``least`` tokens or more; leftmost of equal minima.
+def window_runs(values: np.ndarray, least: int, gram: int = 1) -> list[tuple[int, int, int, int, int]]:
+    """(lo, c, hi, step, count), hi exclusive: the windows (lo + k step, c + k step, hi), k < count, of every node of the Cartesian tree whose range holds ``least`` tokens or more; leftmost of equal minima.
 
-    Equal tokens less than a gram apart lie in a periodic stretch of the text. Any span two such stretches share
-    is met from the first two of them, so the rest give no windows, and a text of one repeated sign
-    doesn't give as many as it has signs.
+    Equal tokens at most half a gram apart lie in a periodic stretch of the text, and their distance is the
+    least period of the gram: the same in every text. Their windows are one row with a count, so a text
+    of one repeated sign doesn't give as many as it has signs, and none is left out. Single windows have step 0.
     """
     out, todo = [], [(0, len(values))]
     while todo:
@@ -85,21 +85,29 @@ def compact_windows(values: np.ndarray, least: int, gram: int = 1) -> list[tuple
             continue
         part = values[lo:hi]
         places = (lo + np.flatnonzero(part == part.min())).tolist()
-        begin, chain = lo, 0
+        begin, before = lo, 0
         for k, c in enumerate(places):
-            chain = chain + 1 if k and c - places[k - 1] < gram else 0
+            gap = c - places[k - 1] if k else 0
             if hi - begin < least:
                 break
-            if chain < 2:
-                out.append((begin, c, hi))
+            if gap == before and 0 < gap <= gram // 2:
+                first = out[-1]
+                out[-1] = (*first[:3], gap, first[4] + 1)
+            else:
+                out.append((begin, c, hi, 0, 1))
             if c - begin >= least:
                 todo.append((begin, c))
-            begin = c + 1
+            begin, before = c + 1, gap
         if hi - begin >= least:
             todo.append((begin, hi))
     return out
 
 
+def compact_windows(values: np.ndarray, least: int, gram: int = 1) -> list[tuple[int, int, int]]:
+    """(lo, c, hi), hi exclusive: the first window of each of ``window_runs``; with grams of one token, every window."""
+    return [run[:3] for run in window_runs(values, least, gram)]
+
+
 def common_runs(a: np.ndarray, b: np.ndarray, shift: int, least: int) -> list[tuple[int, int]]:
     """(begin in a, length) of each maximal run of a[i] == b[i + shift] of at least ``least``."""
     lo, hi = max(0, -shift), min(len(a), len(b) - shift)
@@ -138,36 +146,43 @@ def shared_spans(reps: DataFrame, *, min_chars: int = MIN_CHARS, hashes: int = H
                 base = gram_hashes(points, gram)
                 for h in range(hashes):
                     values = mixed(base, h)
-                    for lo, c, hi in compact_windows(values, least, gram):
+                    for run in window_runs(values, least, gram):
                         taken.append(row)
-                        rows.append((h, lo, c, hi))
-                        keys.append(values[c])
-            table = np.array(rows, np.int32).reshape(-1, 4)
+                        rows.append((h, *run))
+                        keys.append(values[run[1]])
+            table = np.array(rows, np.int32).reshape(-1, 6)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(taken, pa.int64())), pa.array(np.array(keys, np.uint64).view(np.int64)), *[pa.array(table[:, i]) for i in range(4)]],
-                names=["rep", "signature", "h", "lo", "c", "hi"],
+                [part.column(0).take(pa.array(taken, pa.int64())), pa.array(np.array(keys, np.uint64).view(np.int64)), *[pa.array(table[:, i]) for i in range(6)]],
+                names=["rep", "signature", "h", "lo", "c", "hi", "step", "count"],
             )
 
-    w = reps.select("rep", "text").mapInArrow(windows, "rep string, signature long, h int, lo int, c int, hi int")
+    w = reps.select("rep", "text").mapInArrow(windows, "rep string, signature long, h int, lo int, c int, hi int, step int, count int")
     a, b = w.alias("a"), w.alias("b")
     shift = F.col("b.c") - F.col("a.c")
     met = a.join(b, (F.col("a.signature") == F.col("b.signature")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.rep") < F.col("b.rep"))).select(
-        F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"), shift.alias("shift"), F.col("a.h").alias("h"),
-        F.greatest(F.col("a.lo"), F.col("b.lo") - shift).alias("lo"), F.least(F.col("a.hi"), F.col("b.hi") - shift).alias("hi"),
+        F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"), shift.alias("shift"), F.col("a.h").alias("h"), F.greatest("a.step", "b.step", F.lit(1)).alias("step"),
+        (F.col("a.count") - 1).alias("more_a"), (F.col("b.count") - 1).alias("more_b"),
+        (F.col("a.hi") - F.greatest(F.col("a.lo"), F.col("b.lo") - shift) - least).alias("spare_a"), (F.col("b.hi") - shift - F.greatest(F.col("a.lo"), F.col("b.lo") - shift) - least).alias("spare_b"),
     )
-    met = met.where(F.col("hi") - F.col("lo") >= least)
-    candidates = met.groupBy("rep_a", "rep_b", "shift").agg(*[F.max((F.col("h") == h).cast("int")).alias(f"h{h}") for h in range(hashes)])
-    candidates = candidates.where(reduce(lambda x, y: x & y, [F.col(f"h{h}") == 1 for h in range(hashes)])).select("rep_a", "rep_b", "shift")
+    # Window k of a run with window l of another has shift + (l - k) steps; of those of one shift, the ones with k or l 0 meet longest, and leave spare_a - k steps and spare_b - l steps over.
+    met = met.where((F.col("spare_a") >= 0) & (F.col("spare_b") >= 0))
+    steps = F.sequence(-F.least("more_a", F.floor(F.col("spare_a") / F.col("step")).cast("int")), F.least("more_b", F.floor(F.col("spare_b") / F.col("step")).cast("int")))
+    met = met.select("rep_a", "rep_b", "h", "shift", "step", F.explode(steps).alias("k")).select("rep_a", "rep_b", "h", (F.col("shift") + F.col("k") * F.col("step")).alias("shift"))
+    # A periodic stretch meets at many shifts: they are one row, and the texts come to each pair once.
+    candidates = met.groupBy("rep_a", "rep_b").agg(*[F.collect_set(F.when(F.col("h") == h, F.col("shift"))).alias(f"h{h}") for h in range(hashes)])
+    candidates = candidates.select("rep_a", "rep_b", reduce(F.array_intersect, [F.col(f"h{h}") for h in range(hashes)]).alias("shifts")).where(F.size("shifts") > 0)
     with_texts = candidates.join(reps.select(F.col("rep").alias("rep_a"), F.col("text").alias("text_a")), "rep_a").join(
         reps.select(F.col("rep").alias("rep_b"), F.col("text").alias("text_b")), "rep_b"
-    ).select("rep_a", "rep_b", "shift", "text_a", "text_b")
+    ).select("rep_a", "rep_b", "shifts", "text_a", "text_b")
 
     def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             shifts, texts_a, texts_b = (part.column(i).to_pylist() for i in (2, 3, 4))
             kept = []
-            for row, (s, x, y) in enumerate(zip(shifts, texts_a, texts_b)):
-                kept.extend((row, begin, begin + s, length) for begin, length in common_runs(codes(x), codes(y), s, min_chars))
+            for row, (several, x, y) in enumerate(zip(shifts, texts_a, texts_b)):
+                x, y = codes(x), codes(y)
+                for s in several:
+                    kept.extend((row, begin, begin + s, length) for begin, length in common_runs(x, y, s, min_chars))
             table = np.array(kept, np.int64).reshape(-1, 4)
             rows = pa.array(table[:, 0])
             yield pa.RecordBatch.from_arrays(

@@ -128,3 +128,27 @@ def test_shared_spans_against_brute_force(spark):
     assert all(0 <= r.shared_share <= 1 for r in share.values())
     reps, members = sp.text_classes(df.limit(0), key="rev", text="text", min_chars=20)
     assert sp.linked_records(sp.shared_spans(reps, min_chars=20), members).count() == 0
+
+
+def test_shared_spans_after_repetitions(spark):
+    """A repeated line, more often in one text than in another, before, after or on both sides of what they share: every pair, shift and run."""
+    r, n = random.Random(4), 40
+    make = lambda k: "".join(r.choices("abcdefgh", k=k))
+    texts = {}
+    for group in range(25):
+        line, tail, head = make(r.randint(1, 19)), make(r.randint(9, 22)), make(r.randint(9, 22))
+        for copy in range(4):
+            many = line * r.randint(2, 90 // len(line) + 2)
+            texts[f"g{group:02d}{copy}"] = make(r.randint(0, 9)) + (head if copy % 2 else "") + many + (tail if copy < 3 else "") + make(r.randint(0, 9))
+    # Equal grams more than half a gram apart at distances that differ.
+    x, y = make(5), make(8)
+    texts |= {"x1": "1" + (x + y) * 2 + x + y[:2] + (x + y) * 3 + "2" + make(15), "x2": "3" + (x + y) * 4 + x + y[:2] + (x + y) * 3 + "2"}
+    want = set()
+    for a in texts:
+        for b in texts:
+            if a < b:
+                ca, cb = sp.codes(texts[a]), sp.codes(texts[b])
+                want |= {(a, b, i, i + s, k) for s in range(-len(ca), len(cb)) for i, k in sp.common_runs(ca, cb, s, n)}
+    reps = spark.createDataFrame(list(texts.items()), "rep string, text string")
+    got = [tuple(row) for row in sp.shared_spans(reps, min_chars=n).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
