@@ -142,23 +142,26 @@ def three_medians(spark: SparkSession, sf: str) -> DataFrame:
     return picked.select("event_type", F.round("median", 6).alias("median"), F.round("upper", 6).alias("upper"), F.round("quarter", 6).alias("quarter"))
 
 
-def _items(spark: SparkSession, sf: str) -> DataFrame:
-    e = events(spark, sf).withColumn("stratum", F.floor(F.col("t") / 86_400))
-    seen = e.groupBy("stratum", F.col("user_id").alias("u")).agg(F.collect_set("event_type").alias("types")).where(F.size("types") < 3)
-    mates = e.select("event_id", "stratum", F.pmod(F.col("user_id") + 1, F.lit(150)).alias("u"), "event_type")
-    return mates.join(seen, ["stratum", "u"]).select("event_id", "stratum", "event_type", "types")
+def _items(e: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, event_id, stratum, event_type, types): events with what the next user of the day did, by id and around: under three types, or the event is left out; so it is where nobody else was there."""
+    e = e.where("user_id IS NOT NULL").withColumn("stratum", F.floor(F.col("t") / 86_400))
+    users = e.groupBy(*by, "stratum", "user_id").agg(F.collect_set("event_type").alias("types"))
+    day, user = Window.partitionBy(*by, "stratum").orderBy("user_id"), F.struct(F.col("user_id").alias("u"), F.col("types").alias("types"))
+    mates = users.select(*by, "stratum", "user_id", F.coalesce(F.lead(user).over(day), F.first(user).over(day)).alias("next"))
+    mates = mates.where((F.col("next.u") != F.col("user_id")) & (F.size("next.types") < 3)).select(*by, "stratum", "user_id", "next.types")
+    return e.select(*by, "event_id", "stratum", "user_id", "event_type").join(mates, [*by, "stratum", "user_id"]).select(*by, "event_id", "stratum", "event_type", "types")
 
 
 def permutation(spark: SparkSession, sf: str) -> DataFrame:
     """Do users' types agree with their neighbour's of the day beyond chance? 200 shuffles within days."""
-    return stats.permutation_test(_items(spark, sf), item="event_id", stratum="stratum", own="event_type", visible="types", reps=200)
+    return stats.permutation_test(_items(events(spark, sf)), item="event_id", stratum="stratum", own="event_type", visible="types", reps=200)
 
 
 def calibration(spark: SparkSession, sf: str) -> DataFrame:
     """The same test after the types were dealt anew by user, as its own null: 20 trials of 20 shuffles."""
     out = None
     for seed in range(2, 6):
-        items = _items(spark, sf)
+        items = _items(events(spark, sf))
         dealt = items.withColumn("event_type", F.element_at(F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")]), (F.pmod(F.xxhash64(F.lit(seed), "event_id"), F.lit(5)) + 1).cast("int")))
         one = stats.permutation_test(dealt, item="event_id", stratum="stratum", own="event_type", visible="types", reps=20, seed=seed).withColumn("trial", F.lit(seed))
         out = one if out is None else out.unionByName(one)

@@ -132,6 +132,16 @@ def test_at_risk_permutation_bootstrap(spark):
     assert stats.cluster_bootstrap(same.limit(5), cluster="c", hit="h", decoy="d", reps=50).count() == 0
 
 
+def test_permutation_neighbour_is_the_next_user_of_the_day(spark):
+    """Ids of any size, the last user's next is the first, a user alone has none, and busy ones aren't used."""
+    from strandline.plans.events import _items
+
+    day = 86_400
+    rows = [(1, 7, 5, "a"), (2, 7, 6, "b"), (3, 900, 7, "c"), (4, 100_000, 8, "d"), (5, 7, day, "a"), (6, None, 9, "a")] + [(10 + i, 7 + i % 2, 2 * day + i, "abc"[i // 2]) for i in range(6)]
+    got = _items(spark.createDataFrame(rows, "event_id int, user_id long, t long, event_type string")).collect()
+    assert {(x.event_id, x.event_type, tuple(sorted(x.types))) for x in got} == {(1, "a", ("c",)), (2, "b", ("c",)), (3, "c", ("d",)), (4, "d", ("a", "b"))} and len(got) == 4
+
+
 def test_leave_one_out_tie_and_mode(spark):
     df = spark.createDataFrame([(1, "g", "a", "f"), (2, "g", "b", "f"), (3, "h", "a", "f"), (4, "i", "a", None)], "r int, g string, c string, f string")
     got = {x.r: x.credit for x in stats.leave_one_out(df, row="r", group="g", candidate="c", trait="f").collect()}
