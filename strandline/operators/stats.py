@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Z95 = 1.96
+#: A stratum's shuffles are drawn in blocks of so many.
+REPS_A_BLOCK = 500
 
 
 def strata_counts(rows: DataFrame, *, stratum: list[str], exposed: str, outcome: str) -> DataFrame:
@@ -41,25 +45,81 @@ def at_risk(rows: DataFrame, *, agent: str, time: str, outcome: Column, tie: str
     return joined.where(F.col("__first").isNull() | (F.struct(F.col(time).alias("t"), F.col(tie).alias("i")) <= F.col("__first"))).drop("__first")
 
 
-def permutation_test(items: DataFrame, *, item: str, stratum: str, own: str, visible: str, reps: int, seed: int = 1) -> DataFrame:
+def shuffled_hits(pairs: np.ndarray, seen: np.ndarray, reps: int, rng: np.random.Generator) -> np.ndarray:
+    """Of each of ``reps`` shuffles of a stratum's values among its items, how many items see the value they get.
+
+    pairs: the count of each (set, value); seen: which values each set holds. Where sets times values are
+    fewer than the items, a shuffle's table of counts is drawn with its margins fixed, cell by cell, which has the same
+    distribution and costs the same for any number of items (under 10^9 a stratum); otherwise the values are dealt one by one.
+    """
+    of_set, of_value = pairs.sum(1), pairs.sum(0)
+    hits = np.zeros(reps, np.int64)
+    if pairs.size >= of_set.sum():
+        sets, values = np.repeat(np.arange(len(of_set)), of_set), np.repeat(np.arange(len(of_value)), of_value)
+        for k in range(reps):
+            hits[k] = np.count_nonzero(seen[sets, rng.permutation(values)])
+        return hits
+    left = np.tile(of_value, (reps, 1))
+    for size, held in zip(of_set, seen):
+        need, rest = np.full(reps, size), left.sum(1)
+        for v in range(len(of_value)):
+            rest = rest - left[:, v]
+            got = need if v == len(of_value) - 1 else rng.hypergeometric(left[:, v], rest, need)
+            left[:, v] -= got
+            need = need - got
+            if held[v]:
+                hits += got
+    return hits
+
+
+def permutation_test(items: DataFrame, *, item: str, stratum: str, own: str, visible: str, reps: int, seed: int = 1, by: str | None = None, weight: str | None = None) -> DataFrame:
     """One row (n_items, observed, null_mean, excess, p_value): do own values agree with the visible ones beyond chance?
 
-    items: own a value, visible an array of values; rows with an empty one are left out first. In each of ``reps`` shuffles the own
-    values are dealt anew within their stratum, by the order of a keyed hash, so no random state travels. observed counts
-    items whose own value is visible; p is (1 + shuffles at or above it) / (reps + 1).
+    items: own a value, visible an array of values; rows with an empty one are left out first; item only names them. In each of ``reps`` shuffles the own
+    values are dealt anew within their stratum, by a generator keyed with seed, stratum and shuffles, so the result doesn't hang on
+    how rows are placed. observed counts items whose own value is visible; p is (1 + shuffles at or above it) / (reps + 1). With
+    ``by``, a row for each of its values, which comes first; with ``weight``, a row stands for so many items.
 
-    Rows are shuffled by (shuffle, stratum); an item's row is narrow: its value and what it sees.
+    Only counts of (stratum, own, visible) are shuffled; a stratum's shuffles are drawn in blocks by Arrow batches.
+    """
+    kept = items.where(F.col(own).isNotNull() & (F.size(visible) > 0)).select((F.col(by) if by else F.lit(0)).alias("b"), F.col(stratum).alias("s"), F.col(own).alias("o"), F.sort_array(F.array_distinct(visible)).alias("v"), (F.col(weight) if weight else F.lit(1)).alias("n"))
+    counts = kept.groupBy("b", "s", "o", "v").agg(F.sum("n").alias("n"))
+    observed = counts.groupBy("b").agg(F.sum("n").alias("n_items"), F.sum(F.when(F.array_contains("v", F.col("o")), F.col("n")).otherwise(0)).alias("observed"))
+
+    def deal(group: pa.Table) -> pa.Table:
+        own_values, sets, n = group["o"].to_pylist(), [tuple(v) for v in group["v"].to_pylist()], group["n"].to_pylist()
+        values, kinds = {o: k for k, o in enumerate(sorted(set(own_values), key=repr))}, {v: k for k, v in enumerate(sorted(set(sets), key=repr))}
+        pairs, seen = np.zeros((len(kinds), len(values)), np.int64), np.zeros((len(kinds), len(values)), bool)
+        for o, v, c in zip(own_values, sets, n):
+            pairs[kinds[v], values[o]] = c
+        for v, k in kinds.items():
+            seen[k, [values[o] for o in set(v) if o in values]] = True
+        block = group["block"][0].as_py()
+        many = min(REPS_A_BLOCK, reps - block * REPS_A_BLOCK)
+        rng = np.random.default_rng([seed, group["key"][0].as_py() & 0xFFFFFFFFFFFFFFFF, block])
+        return pa.table({"b": pa.repeat(group["b"][0], many), "rep": pa.array(np.arange(many) + block * REPS_A_BLOCK), "hits": pa.array(shuffled_hits(pairs, seen, many, rng))})
+
+    each = counts.withColumn("key", F.xxhash64("b", "s")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // REPS_A_BLOCK))))
+    # So few bytes would be one task; a number given is kept.
+    each = each.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b", "s", "block")
+    dealt = each.groupBy("b", "s", "block").applyInArrow(deal, f"b {kept.schema['b'].dataType.simpleString()}, rep long, hits long")
+    nulls = dealt.groupBy("b", "rep").agg(F.sum("hits").alias("hits"))
+    total = nulls.join(observed, "b").groupBy("b", "n_items", "observed").agg(F.avg("hits").alias("null_mean"), F.count_if(F.col("hits") >= F.col("observed")).alias("above"))
+    return total.select(*([F.col("b").alias(by)] if by else []), "n_items", "observed", "null_mean", (F.col("observed") - F.col("null_mean")).alias("excess"), ((1 + F.col("above")) / F.lit(reps + 1)).alias("p_value"))
+
+
+def calibrated(tests: DataFrame, *, trial: str) -> DataFrame:
+    """One row (n_trials, observed_ratio, median, low, high, p_value) of the rows of ``permutation_test`` by trial: 0 the real values, others dealt ones.
+
+    A trial's ratio is observed / null_mean, and null ones are left out; median (the upper one), low and high are of the dealt trials, and p is (1 + trials at or
+    above the real ratio) / (n_trials + 1). Nulls if there is no trial 0 or no other.
     """
-    kept = items.where(F.col(own).isNotNull() & (F.size(visible) > 0)).select(F.col(item).alias("i"), F.col(stratum).alias("s"), F.col(own).alias("o"), F.col(visible).alias("v"))
-    observed = kept.agg(F.count(F.lit(1)).alias("n_items"), F.count_if(F.array_contains("v", F.col("o"))).alias("observed"))
-    each = kept.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    by_item = Window.partitionBy("rep", "s").orderBy("i")
-    by_hash = Window.partitionBy("rep", "s").orderBy(F.xxhash64(F.lit(seed), "rep", "i"), "i")
-    placed = each.withColumn("place", F.row_number().over(by_item)).withColumn("dealt", F.row_number().over(by_hash))
-    seats, values = placed.select("rep", "s", "place", "v"), placed.select("rep", "s", F.col("dealt").alias("place"), "o")
-    nulls = seats.join(values, ["rep", "s", "place"]).groupBy("rep").agg(F.count_if(F.array_contains("v", F.col("o"))).alias("hits"))
-    total = nulls.crossJoin(F.broadcast(observed)).groupBy("n_items", "observed").agg(F.avg("hits").alias("null_mean"), F.count_if(F.col("hits") >= F.col("observed")).alias("above"))
-    return total.select("n_items", "observed", "null_mean", (F.col("observed") - F.col("null_mean")).alias("excess"), ((1 + F.col("above")) / F.lit(reps + 1)).alias("p_value"))
+    ratio = F.col("observed") / F.nullif("null_mean", F.lit(0.0))
+    one = tests.agg(F.max(F.when(F.col(trial) == 0, ratio)).alias("observed_ratio"), F.array_sort(F.collect_list(F.when(F.col(trial) != 0, ratio))).alias("x"))  # as many numbers as there are trials
+    n = F.size("x")
+    pick = lambda k: F.when(n > 0, F.get("x", k))
+    above = F.size(F.filter("x", lambda r: r >= F.col("observed_ratio")))
+    return one.select(n.alias("n_trials"), "observed_ratio", pick((n / 2).cast("int")).alias("median"), pick(F.lit(0)).alias("low"), pick(n - 1).alias("high"), F.when((n > 0) & F.col("observed_ratio").isNotNull(), (1 + above) / (n + 1)).alias("p_value"))
 
 
 def cluster_bootstrap(rows: DataFrame, *, cluster: str, hit: str, decoy: str, reps: int = 1000, seed: int = 1, least: int = 10) -> DataFrame:

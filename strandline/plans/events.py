@@ -12,6 +12,8 @@ from strandline.sources.tables import table
 
 #: Exposure counts for half an hour; strata are six hours.
 EXPOSURE_S, STRATUM_S = 1_800, 21_600
+#: Shuffles of a permutation test, and trials of its calibration.
+SHUFFLES, TRIALS = 2_000, 20
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,29 +145,43 @@ def three_medians(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _items(e: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, event_id, stratum, event_type, types): events with what the next user of the day did, by id and around: under three types, or the event is left out; so it is where nobody else was there."""
-    e = e.where("user_id IS NOT NULL").withColumn("stratum", F.floor(F.col("t") / 86_400))
-    users = e.groupBy(*by, "stratum", "user_id").agg(F.collect_set("event_type").alias("types"))
-    day, user = Window.partitionBy(*by, "stratum").orderBy("user_id"), F.struct(F.col("user_id").alias("u"), F.col("types").alias("types"))
-    mates = users.select(*by, "stratum", "user_id", F.coalesce(F.lead(user).over(day), F.first(user).over(day)).alias("next"))
-    mates = mates.where((F.col("next.u") != F.col("user_id")) & (F.size("next.types") < 3)).select(*by, "stratum", "user_id", "next.types")
-    return e.select(*by, "event_id", "stratum", "user_id", "event_type").join(mates, [*by, "stratum", "user_id"]).select(*by, "event_id", "stratum", "event_type", "types")
+    """(*by, stratum, user_id, event_type, n, types): each user's n events of a type in a day, with what the next user of the day did, by id and around: under three types, or the row is left out; so it is where nobody else was there.
+
+    A user's day is one row with a count for each type; the next one is a window over the day's users.
+    """
+    e = e.where("user_id IS NOT NULL AND event_type IS NOT NULL").withColumn("stratum", F.col("day") if "day" in e.columns else F.floor(F.col("t") / 86_400))
+    each = e.groupBy(*by, "stratum", "user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    users = each.groupBy(*by, "stratum", "user_id").agg(F.collect_list(F.struct("event_type", "n")).alias("own"))
+    day, user = Window.partitionBy(*by, "stratum").orderBy("user_id"), F.struct("user_id", F.col("own.event_type").alias("types"))
+    mates = users.withColumn("next", F.coalesce(F.lead(user).over(day), F.first(user).over(day))).where((F.col("next.user_id") != F.col("user_id")) & (F.size("next.types") < 3))
+    return mates.select(*by, "stratum", "user_id", "next.types", F.inline("own")).select(*by, "stratum", "user_id", "event_type", "n", "types")
 
 
 def permutation(spark: SparkSession, sf: str) -> DataFrame:
-    """Do users' types agree with their neighbour's of the day beyond chance? 200 shuffles within days."""
-    return stats.permutation_test(_items(events(spark, sf)), item="event_id", stratum="stratum", own="event_type", visible="types", reps=200)
+    """Do users' types agree with their neighbour's of the day beyond chance? 2,000 shuffles within days."""
+    return stats.permutation_test(_items(events(spark, sf)), item="user_id", stratum="stratum", own="event_type", visible="types", weight="n", reps=SHUFFLES)
+
+
+def _dealt(e: DataFrame, trials: int) -> DataFrame:
+    """(trial, day, event_id, user_id, t, event_type): e once for each trial, 0 as it is, in others the types dealt anew within the day.
+
+    The event in place k by the order of a keyed hash gets the k-th of the day's types, which are kept as counts.
+    Rows are shuffled by day before they are multiplied, and not again.
+    """
+    e = e.select("event_id", "user_id", "t", "event_type", F.floor(F.col("t") / 86_400).alias("day"))
+    counts = e.groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n")).groupBy("day").agg(F.array_sort(F.collect_list(F.struct("event_type", "n"))).alias("c"))
+    upto = F.transform("c", lambda x, i: F.struct(x["event_type"].alias("event_type"), F.aggregate(F.slice("c", F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda total, y: total + y["n"]).alias("upto")))
+    each = e.repartition("day").join(counts.select("day", upto.alias("types")), "day").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials))))
+    place = F.row_number().over(Window.partitionBy("trial", "day").orderBy(F.xxhash64("trial", "event_id"), "event_id"))
+    new = F.get(F.filter("types", lambda x: x["upto"] >= F.col("place")), F.lit(0))["event_type"]
+    return each.withColumn("place", place).select("trial", "day", "event_id", "user_id", "t", F.when(F.col("trial") == 0, F.col("event_type")).otherwise(new).alias("event_type"))
 
 
 def calibration(spark: SparkSession, sf: str) -> DataFrame:
-    """The same test after the types were dealt anew by user, as its own null: 20 trials of 20 shuffles."""
-    out = None
-    for seed in range(2, 6):
-        items = _items(events(spark, sf))
-        dealt = items.withColumn("event_type", F.element_at(F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")]), (F.pmod(F.xxhash64(F.lit(seed), "event_id"), F.lit(5)) + 1).cast("int")))
-        one = stats.permutation_test(dealt, item="event_id", stratum="stratum", own="event_type", visible="types", reps=20, seed=seed).withColumn("trial", F.lit(seed))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The same test's ratio beside those of 20 trials in which the types were dealt anew within days, 2,000 shuffles each: median, range and p."""
+    items = _items(_dealt(events(spark, sf), TRIALS), by=("trial",))
+    tests = stats.permutation_test(items, item="user_id", stratum="stratum", own="event_type", visible="types", weight="n", reps=SHUFFLES, by="trial")
+    return stats.calibrated(tests, trial="trial")
 
 
 def bootstrap(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,6 +1,8 @@
+import itertools
 import math
 import random
 
+import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -139,7 +141,40 @@ def test_permutation_neighbour_is_the_next_user_of_the_day(spark):
     day = 86_400
     rows = [(1, 7, 5, "a"), (2, 7, 6, "b"), (3, 900, 7, "c"), (4, 100_000, 8, "d"), (5, 7, day, "a"), (6, None, 9, "a")] + [(10 + i, 7 + i % 2, 2 * day + i, "abc"[i // 2]) for i in range(6)]
     got = _items(spark.createDataFrame(rows, "event_id int, user_id long, t long, event_type string")).collect()
-    assert {(x.event_id, x.event_type, tuple(sorted(x.types))) for x in got} == {(1, "a", ("c",)), (2, "b", ("c",)), (3, "c", ("d",)), (4, "d", ("a", "b"))} and len(got) == 4
+    assert {(x.user_id, x.event_type, x.n, tuple(sorted(x.types))) for x in got} == {(7, "a", 1, ("c",)), (7, "b", 1, ("c",)), (900, "c", 1, ("d",)), (100_000, "d", 1, ("a", "b"))} and len(got) == 4
+
+
+def test_shuffled_hits_either_way():
+    """Mean and variance of the hits are those of all orders, by counts as one by one."""
+    sets, values, held = [0, 0, 1, 1, 1, 2], [0, 0, 0, 1, 1, 2], [{0}, {0, 2}, {1}]
+    every = [sum(v in held[s] for s, v in zip(sets, order)) for order in itertools.permutations(values)]
+    mean, var = sum(every) / len(every), sum(x * x for x in every) / len(every) - (sum(every) / len(every)) ** 2
+    pairs, seen = np.zeros((3, 3), np.int64), np.array([[v in h for v in range(3)] for h in held])
+    np.add.at(pairs, (sets, values), 1)
+    assert pairs.size > len(sets)
+    one = stats.shuffled_hits(pairs, seen, 20_000, np.random.default_rng(1))
+    assert abs(one.mean() - mean) < 0.03 and abs(one.var() - var) < 0.05
+    many = stats.shuffled_hits(pairs * 50, seen, 20_000, np.random.default_rng(1))
+    n = pairs.sum()  # the mean grows with the items, the variance by n - 1 and n
+    assert abs(many.mean() / 50 - mean) < 0.02 and abs(many.var() / 50 / (var * (n - 1) / n) / (50 * n / (50 * n - 1)) - 1) < 0.05
+
+
+def test_permutation_and_calibration_run_in_full(spark, tmp_path):
+    """p resolves 1 / 2,001; 20 trials give one row with median, range and p, and dealt types keep each day's counts."""
+    from strandline.plans import events
+
+    rows = [(i, i % 200, "2024-01-01 00:00:00" if i < 400 else "2024-01-02 00:00:00", "view" if (i % 200) < 100 else "click") for i in range(800)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    e.withColumn("value", F.lit(1.0)).withColumn("props", F.lit("{}")).write.parquet(str(tmp_path / "events.parquet"))
+    got = events.permutation(spark, str(tmp_path)).first()
+    assert (got.n_items, got.observed) == (800, 792) and abs(got.null_mean - 400) < 2 and got.p_value == 1 / 2001
+    c = events.calibration(spark, str(tmp_path)).collect()
+    assert len(c) == 1 and c[0].n_trials == 20 and c[0].p_value == 1 / 21 and c[0].low <= c[0].median <= c[0].high < c[0].observed_ratio and abs(c[0].observed_ratio - 1.98) < 0.02
+    base = events.events(spark, str(tmp_path))
+    days = events._dealt(base, 3).groupBy("trial", F.floor(F.col("t") / 86_400).alias("day"), "event_type").count().collect()
+    assert len(days) == 16 and all(x["count"] == 200 for x in days)
+    same = events._dealt(base, 3).where("trial = 0").select("event_id", "event_type")
+    assert same.exceptAll(base.select("event_id", "event_type")).count() == 0
 
 
 def test_leave_one_out_tie_and_mode(spark):
