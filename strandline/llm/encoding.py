@@ -9,11 +9,13 @@ labelled span gets its state's inverse transform, and what it gives is decoded a
 text that was garbled more than once.
 
 Most texts are settled by one vectorised look at their classes: where every character
-stands well as it is, no path through another state can win.
+stands well as it is, what all could gain one by one doesn't pay for entering a state, and no pair
+turns several characters into one, no path through another state can win.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,8 +37,10 @@ CLEAN, LOST = "clean", "lost"
 ENTER, LEAVE, IMPOSSIBLE = -6.0, -2.0, -30.0
 #: A unit of several characters is rarely well-formed by chance, so however its character stands, it gets at least this.
 UNIT = -5.0
-#: A character that stands at least so well is never reason for another state.
+#: A character that stands worse sends its text to the model.
 PLAIN = -5.5
+#: Two replacement characters in UTF-8, read as GBK.
+GBK_LOST = "锟斤拷"
 ROUNDS = 4
 
 (OTHER, LOWER, UPPER, DIGIT, BLANK, PUNCT, LAT_LOW, LAT_UP, QUOTE, SYMBOL, CYR, GREEK, CJK, C1, REPL, BOX, RARE, INVISIBLE, LOW_QUOTE) = range(19)
@@ -204,6 +208,8 @@ def labels(text: str, points: np.ndarray, clean: np.ndarray) -> tuple[list[int],
     emit[:, 0] = clean[places]
     emit[:, 1] = np.where(points[places] == 0xFFFD, -1.0, clean[places] - 1.0)
     index = {p: i for i, p in enumerate(places)}
+    for m in re.finditer(GBK_LOST, text):
+        emit[[index[p] for p in range(*m.span())], 1] = -1.0
     for s, pair in enumerate(own, 2):
         units = pair.units(text, places)
         if not units:
@@ -244,6 +250,45 @@ def labels(text: str, points: np.ndarray, clean: np.ndarray) -> tuple[list[int],
     return places, path
 
 
+def beside(points: np.ndarray) -> np.ndarray:
+    """Where a character outside ASCII follows another."""
+    wide = points > 127
+    return np.flatnonzero(wide[1:] & wide[:-1]) + 1
+
+
+@lru_cache(maxsize=1)
+def best_alone() -> np.ndarray:
+    """The most that any pair's state can give each code point as a unit of its own: how well its class stands at best."""
+    at_best = {LAT_UP: -4.0, CJK: -4.0, BOX: -4.0, SYMBOL: -5.0, LOW_QUOTE: -5.0, INVISIBLE: -5.0, OTHER: -6.0, RARE: -7.0, C1: -16.0, LAT_LOW: -3.0, QUOTE: -3.0, CYR: -3.0, GREEK: -3.0}
+    out = np.full(0x10000, IMPOSSIBLE)
+    for pair in pairs():
+        if pair.wide:
+            made = [(raw, raw.decode(pair.read_as, "ignore"), raw.decode()) for lead in range(0xC2, 0xE0) for raw in (bytes([lead, tail]) for tail in range(0x80, 0xC0))]
+            known = [(c, decoded) for raw, c, decoded in made if len(c) == 1]
+        else:
+            known = [(c, pair.char_of[b]) for c, b in pair.byte_of.items() if b in pair.char_of]
+        for c, decoded in known:
+            out[ord(c)] = max(out[ord(c)], at_best.get(int(classes()[ord(decoded)]), 0.0))
+    return out
+
+
+def gains(points: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """What each character outside ASCII can gain at most under another state as a unit of its own."""
+    return np.where((points > 127) & (points < 0x10000), np.maximum(0.0, best_alone()[np.minimum(points, 0xFFFF)] - clean), 0.0)
+
+
+def settled(text: str, points: np.ndarray, clean: np.ndarray) -> bool:
+    """Whether no path through another state can win."""
+    if not len(points):
+        return True
+    if clean.min() < PLAIN or gains(points, clean).sum() >= -ENTER or GBK_LOST in text:
+        return False
+    if not len(beside(points)):
+        return True
+    places = np.flatnonzero(points > 127).tolist()
+    return not any(end - begin > 1 for pair in pairs() for begin, end, _ in pair.units(text, places))
+
+
 def restore(text: str) -> tuple[str, list[str]]:
     """(text as far as it can be restored, pairs in the order they were undone); no pairs if the text is clean."""
     undone: list[str] = []
@@ -251,7 +296,7 @@ def restore(text: str) -> tuple[str, list[str]]:
     for _ in range(ROUNDS):
         points = _points(text)
         clean = standing(points)
-        if not len(points) or clean.min() >= PLAIN:
+        if settled(text, points, clean):
             break
         places, path = labels(text, points, clean)
         if not path.any():
@@ -283,7 +328,7 @@ def repair_encoding(df: DataFrame, *, key: str, text: str) -> DataFrame:
     """(key, restored, pairs, complete) of each row whose text is garbled.
 
     restored: the text with every span turned back that can be; pairs: which encoding
-    pairs were undone, "lost" for replacement characters; complete: no replacement character is left. Rows with
+    pairs were undone, "lost" for replacement characters, also as GBK shows them; complete: none of those is left. Rows with
     a clean, null or empty text give no row; repeated rows are each returned; other
     columns are ignored; an empty table gives no rows.
     """
@@ -295,16 +340,17 @@ def repair_encoding(df: DataFrame, *, key: str, text: str) -> DataFrame:
             taken, texts, names = [], [], []
             # One look at the whole batch: line ends between texts keep neighbours apart.
             joined = _points("\n".join(values) + "\n")
-            poor = np.flatnonzero(standing(joined) < PLAIN)
-            ends = np.cumsum([len(v) + 1 for v in values])
-            for row in np.unique(np.searchsorted(ends, poor, "right")).tolist():
+            clean, ends = standing(joined), np.cumsum([len(v) + 1 for v in values])
+            poor = np.concatenate([np.flatnonzero(clean < PLAIN), beside(joined)])
+            dear = np.flatnonzero(np.add.reduceat(gains(joined, clean), np.concatenate([[0], ends[:-1]])) >= -ENTER) if values else []
+            for row in np.union1d(np.searchsorted(ends, poor, "right"), dear).astype(int).tolist():
                 restored, undone = restore(values[row])
                 if undone:
                     taken.append(row)
                     texts.append(restored)
                     names.append(undone)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(taken, pa.int64())), pa.array(texts, pa.string()), pa.array(names, pa.list_(pa.string())), pa.array(["�" not in t for t in texts], pa.bool_())],
+                [part.column(0).take(pa.array(taken, pa.int64())), pa.array(texts, pa.string()), pa.array(names, pa.list_(pa.string())), pa.array(["�" not in t and GBK_LOST not in t for t in texts], pa.bool_())],
                 names=["key", "restored", "pairs", "complete"],
             )
 

@@ -165,3 +165,23 @@ def test_link_names(spark):
     assert sorted(sorted(g) for g in groups.values() if len(g) > 1) == [[1, 2, 3, 4, 5], [6, 7], [8, 9, 11], [15, 16]]
     assert sum(map(len, groups.values())) == 18
     assert names.link_names(df.limit(0), key="id", name="name", family="fam", families="families").count() == 0
+
+
+def test_encoding_of_texts_that_stand_well(spark):
+    """Garbled Cyrillic and Chinese whose every character stands well beside its neighbours; and clean ones that stay."""
+    cases = {}
+    for k, word in enumerate(("город", "дом", "вино")):
+        cases[f"c{k}"] = (f"a {word.encode().decode('cp1251')} b", f"a {word} b", "utf-8 as cp1251")
+    bad = "东京".encode().decode("gbk")
+    assert all(0x4E00 <= ord(c) < 0xA000 for c in bad)
+    cases["g"] = (f"see {bad} here", "see 东京 here", "utf-8 as gbk")
+    for bad, good, pair in cases.values():
+        points = encoding._points(bad)
+        assert encoding.standing(points).min() >= encoding.PLAIN and encoding.restore(bad) == (good, [pair])
+    lost = "see " + encoding.GBK_LOST * 2 + " here"
+    assert encoding.restore(lost) == (lost, [encoding.LOST])
+    clean = ["Он жил в городе, где пили вино. Россия и Сибирь", "中文维基百科是一个自由的百科全书", "Größe, Élan, café Ünïcode", "东京 大阪"]
+    assert all(encoding.restore(t) == (t, []) for t in clean)
+    df = spark.createDataFrame([(k, v[0]) for k, v in cases.items()] + [("lost", lost)] + [(f"z{i}", t) for i, t in enumerate(clean)], "rev string, text string")
+    got = {r.rev: (r.restored, r.complete) for r in encoding.repair_encoding(df, key="rev", text="text").collect()}
+    assert got == {k: (v[1], True) for k, v in cases.items()} | {"lost": (lost, False)}
