@@ -8,9 +8,11 @@ character, by how well that one would stand there. Viterbi decoding gives the la
 labelled span gets its state's inverse transform, and what it gives is decoded again, for
 text that was garbled more than once.
 
-Most texts are settled by one vectorised look at their classes: where every character
-stands well as it is, what all could gain one by one doesn't pay for entering a state, and no pair
-turns several characters into one, no path through another state can win.
+All texts of a batch are worked on at once in numpy, over the characters outside ASCII only. What
+each character could gain under its best state is summed up along each text: where no stretch
+around a character gains what entering a state costs, the character is clean on every best path. Viterbi
+runs over the other stretches, all stretches one step at a time. Texts that changed are looked at again, until none
+changes.
 """
 
 from __future__ import annotations
@@ -37,11 +39,10 @@ CLEAN, LOST = "clean", "lost"
 ENTER, LEAVE, IMPOSSIBLE = -6.0, -2.0, -30.0
 #: A unit of several characters is rarely well-formed by chance, so however its character stands, it gets at least this.
 UNIT = -5.0
-#: A character that stands worse sends its text to the model.
-PLAIN = -5.5
 #: Two replacement characters in UTF-8, read as GBK.
 GBK_LOST = "锟斤拷"
-ROUNDS = 4
+#: Characters of the texts that are worked on at once; a longer text is worked on alone.
+BATCH_CHARS = 1 << 18
 
 (OTHER, LOWER, UPPER, DIGIT, BLANK, PUNCT, LAT_LOW, LAT_UP, QUOTE, SYMBOL, CYR, GREEK, CJK, C1, REPL, BOX, RARE, INVISIBLE, LOW_QUOTE) = range(19)
 
@@ -89,20 +90,22 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def standing(points: np.ndarray) -> np.ndarray:
-    """Log-probability of each character under the clean state, from its class and its neighbours'; 0 for ASCII."""
-    k = np.where(points < 0x10000, classes()[np.minimum(points, 0xFFFF)], OTHER)
-    left, right = np.concatenate([[BLANK], k[:-1]]), np.concatenate([k[1:], [BLANK]])
+#: Words of one letter, and apostrophes: the only characters that count for more than their class.
+_SINGLE, _APOSTROPHE = "àÀóÓèÈéÉêôÔúÚöÖåÅæøØÎ", "\u2019\u2018"
+
+
+@lru_cache(maxsize=1)
+def _stands() -> np.ndarray:
+    """Log-probability under the clean state by class, classes of both neighbours, and 1 for a word of one letter, 2 for an apostrophe; 0 for ASCII."""
+    k, left, right, special = np.meshgrid(range(19), range(19), range(19), range(3), indexing="ij")
     is_in = lambda x, *ks: np.isin(x, ks)
     latin_l, latin_r = is_in(left, LOWER, UPPER, LAT_LOW, LAT_UP), is_in(right, LOWER, UPPER, LAT_LOW, LAT_UP)
     odd_l, odd_r = is_in(left, SYMBOL, C1, REPL, BOX, RARE, LOW_QUOTE), is_in(right, SYMBOL, C1, REPL, BOX, RARE, LOW_QUOTE)
     alone = ~latin_l & ~latin_r
-    out = np.zeros(len(k))
-    # Words of one letter.
-    single = np.isin(points, [ord(x) for x in "àÀóÓèÈéÉêôÔúÚöÖåÅæøØÎ"])
+    out = np.zeros(k.shape)
+    single, apostrophe = special == 1, special == 2
     out = np.where(k == LAT_LOW, np.where(alone & ~single, -8.0, -3.0) - 5.0 * (odd_l | odd_r), out)
     out = np.where(k == LAT_UP, np.where(is_in(left, LOWER, LAT_LOW), -11.0, np.where(odd_r | is_in(right, QUOTE, INVISIBLE), -9.0, np.where(alone & ~single, -7.0, -4.0))), out)
-    apostrophe = np.isin(points, (0x2019, 0x2018))
     out = np.where(k == QUOTE, np.where(latin_l & latin_r & ~apostrophe, -6.0, -3.0) - 5.0 * is_in(left, SYMBOL, C1, LOW_QUOTE), out)
     out = np.where(k == LOW_QUOTE, np.where(latin_l, -9.0, -5.0), out)
     out = np.where(k == SYMBOL, np.where(latin_l & latin_r, -10.0, np.where(latin_l, -7.0, -5.0)), out)
@@ -118,6 +121,25 @@ def standing(points: np.ndarray) -> np.ndarray:
     return np.where(k == REPL, -40.0, out)
 
 
+@lru_cache(maxsize=1)
+def _specials() -> np.ndarray:
+    out = np.zeros(0x10000, np.uint8)
+    out[[ord(c) for c in _SINGLE]], out[[ord(c) for c in _APOSTROPHE]] = 1, 2
+    return out
+
+
+def _known(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class, special) of each code point."""
+    low = np.minimum(points, 0xFFFF)
+    return np.where(points < 0x10000, classes()[low], OTHER), _specials()[low]
+
+
+def standing(points: np.ndarray) -> np.ndarray:
+    """Log-probability of each character of a text under the clean state, from its class and its neighbours'; 0 for ASCII."""
+    k, special = _known(points)
+    return _stands()[k, np.concatenate([[BLANK], k[:-1]]), np.concatenate([k[1:], [BLANK]]), special]
+
+
 class Pair:
     """A pair's inverse: units (begin, end, text) of a string that it turns into one character."""
 
@@ -138,6 +160,41 @@ class Pair:
                     self.char_of[b] = bytes([b]).decode(made_of)
                 except UnicodeDecodeError:
                     pass
+        # By code point: the byte it was read from; the character that one means; for wide ones, whether a unit can begin with it.
+        self.bytes_at, self.chars_at, self.begins_at = np.zeros(0x10000, np.uint8), np.zeros(0x10000, np.uint16), np.zeros(0x10000, bool)
+        for c, b in self.byte_of.items():
+            self.bytes_at[ord(c)] = b
+            if b in self.char_of and self.char_of[b] != c:
+                self.chars_at[ord(c)] = ord(self.char_of[b])
+        if self.wide:
+            for c in range(0x80, 0x10000):
+                raw = chr(c).encode(read_as, "ignore")
+                self.begins_at[c] = len(raw) > 0 and 0xC2 <= raw[0] < 0xF5 and (len(raw) < 2 or 0x80 <= raw[1] < 0xC0)
+
+    def all_units(self, points: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, size, code point): the units of a pair that isn't wide, over characters outside ASCII; follows[i]: i + 1 stands right behind i."""
+        low = np.minimum(points, 0xFFFF)
+        if self.made_of != "utf-8":
+            made = self.chars_at[low]
+            first = np.flatnonzero(made)
+            return first, np.ones(len(first), np.int64), made[first].astype(np.uint32)
+        b = np.where(points < 0x10000, self.bytes_at[low], 0).astype(np.uint32)
+        padded = np.concatenate([b, np.zeros(3, np.uint32)])
+        tail = (padded & 0xC0) == 0x80
+        near = np.concatenate([follows, np.zeros(4, bool)])
+        n = len(b)
+        two = near[:n] & tail[1 : n + 1]
+        three = two & near[1 : n + 1] & tail[2 : n + 2]
+        four = three & near[2 : n + 2] & tail[3 : n + 3]
+        b1, b2, b3 = padded[1 : n + 1], padded[2 : n + 2], padded[3 : n + 3]
+        is_two = two & (b >= 0xC2) & (b < 0xE0)
+        is_three = three & (b >= 0xE0) & (b < 0xF0) & ((b != 0xE0) | (b1 >= 0xA0)) & ((b != 0xED) | (b1 < 0xA0))
+        is_four = four & (b >= 0xF0) & (b < 0xF5) & ((b != 0xF0) | (b1 >= 0x90)) & ((b != 0xF4) | (b1 < 0x90))
+        size = is_two * 2 + is_three * 3 + is_four * 4
+        first = np.flatnonzero(size)
+        size, b, b1, b2, b3 = size[first], b[first], b1[first] & 0x3F, b2[first] & 0x3F, b3[first] & 0x3F
+        point = np.where(size == 2, (b & 0x1F) << 6 | b1, np.where(size == 3, (b & 0x0F) << 12 | b1 << 6 | b2, (b & 0x07) << 18 | b1 << 12 | b2 << 6 | b3))
+        return first, size, point
 
     def units(self, text: str, places: list[int]) -> list[tuple[int, int, str]]:
         """places: where the characters outside ASCII are."""
@@ -199,129 +256,190 @@ def pairs() -> list[Pair]:
     return [Pair(*p) for p in PAIRS]
 
 
-def labels(text: str, points: np.ndarray, clean: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """(places outside ASCII, state of each): 0 clean, 1 lost, 2.. the pairs, by Viterbi decoding."""
-    places = np.flatnonzero(points > 127).tolist()
-    own = pairs()
-    n, states = len(places), 2 + len(own)
-    emit = np.full((n, states), IMPOSSIBLE)
-    emit[:, 0] = clean[places]
-    emit[:, 1] = np.where(points[places] == 0xFFFD, -1.0, clean[places] - 1.0)
-    index = {p: i for i, p in enumerate(places)}
-    for m in re.finditer(GBK_LOST, text):
-        emit[[index[p] for p in range(*m.span())], 1] = -1.0
-    for s, pair in enumerate(own, 2):
-        units = pair.units(text, places)
-        if not units:
-            continue
-        decoded, starts, at = [], [], 0
-        length = 0
-        for begin, end, c in units:
-            decoded += [text[at:begin], c]
-            length += begin - at
-            starts.append((length, len(c)))
-            length += len(c)
-            at = end
-        whole = "".join(decoded) + text[at:]
-        stands = standing(_points(whole))
-        for (begin, end, c), (where, width) in zip(units, starts):
-            # Its characters share the unit's probability, so that none is left out for being dear alone.
-            own_places = [index[p] for p in range(begin, end) if p in index]
-            emit[own_places, s] = max(float(stands[where : where + width].sum()), UNIT if end - begin > 1 else IMPOSSIBLE) / len(own_places)
-    # Viterbi: staying costs nothing, another state costs ENTER or LEAVE.
-    score = emit[0] + np.where(np.arange(states) == 0, 0.0, ENTER)
-    back = np.zeros((n, states), np.int16)
+class Places:
+    """The characters outside ASCII of several texts, with their neighbours, and what each state makes of them."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        # Line ends between texts keep neighbours apart.
+        self.joined = "\n".join(texts) + "\n"
+        every = _points(self.joined)
+        begins = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        self.at = np.flatnonzero(every > 127)
+        self.text = np.searchsorted(begins, self.at, "right") - 1
+        self.inside = self.at - begins[self.text]
+        self.points = every[self.at]
+        self.follows = np.append(self.at[1:] == self.at[:-1] + 1, False)[: len(self.at)]
+        self.last = np.append(self.text[1:] != self.text[:-1], True)[: len(self.at)]
+        k, special = _known(every)
+        # The joined text ends with a line end, so an index of -1 is one as well.
+        self.k, self.left, self.right = k[self.at], k[self.at - 1], k[np.minimum(self.at + 1, len(every) - 1)]
+        self.clean = _stands()[self.k, self.left, self.right, special[self.at]]
+        self.states: list[tuple[int, np.ndarray, np.ndarray]] = []
+        lost = np.where(self.points == 0xFFFD, -1.0, self.clean - 1.0)
+        if GBK_LOST in self.joined:
+            for m in re.finditer(GBK_LOST, self.joined):
+                lost[np.searchsorted(self.at, m.start()) : np.searchsorted(self.at, m.end())] = -1.0
+        self.lost = lost
+        for s, pair in enumerate(pairs(), 2):
+            if pair.wide:
+                self.wide(s, pair)
+            else:
+                first, size, point = pair.all_units(self.points, self.follows)
+                if len(first):
+                    self.narrow(s, first, size, point)
+
+    def narrow(self, s: int, first: np.ndarray, size: np.ndarray, point: np.ndarray) -> None:
+        k, special = _known(point)
+        begins, ends = self.k.copy(), self.k.copy()
+        begins[first], ends[first + size - 1] = k, k
+        last = first + size - 1
+        left = np.where((first > 0) & self.follows[first - 1], ends[first - 1], self.left[first])
+        right = np.where(self.follows[last], begins[np.minimum(last + 1, len(begins) - 1)], self.right[last])
+        stands = _stands()[k, left, right, special]
+        # Its characters share the unit's probability, so that none is left out for being dear alone.
+        share = np.where(size > 1, np.maximum(stands, UNIT), np.maximum(stands, IMPOSSIBLE)) / size
+        many = np.repeat(np.arange(len(first)), size)
+        places = first[many] + (np.arange(len(many)) - np.repeat(np.cumsum(size) - size, size))
+        self.states.append((s, places, share[many]))
+
+    def wide(self, s: int, pair: Pair) -> None:
+        """Units of a wide pair are whole runs; few begin as one must."""
+        starts = np.flatnonzero(~np.concatenate([[False], self.follows[:-1]])) if len(self.at) else self.at
+        low = self.points[starts]
+        starts = starts[(low < 0x10000) & pair.begins_at[np.minimum(low, 0xFFFF)]]
+        ends = np.flatnonzero(~self.follows)
+        for i, j in zip(starts.tolist(), ends[np.searchsorted(ends, starts)].tolist()):
+            text, begin = self.texts[self.text[i]], int(self.inside[i])
+            for a, b, decoded in pair.units(text, list(range(begin, begin + j - i + 1))):
+                around = text[:a][-1:] + decoded + text[b : b + 1]
+                stands = standing(_points(around))[len(text[:a][-1:]) :][: len(decoded)]
+                share = max(float(stands.sum()), UNIT if b - a > 1 else IMPOSSIBLE) / (b - a)
+                self.states.append((s, np.arange(i + a - begin, i + b - begin), np.full(b - a, share)))
+
+    def torn(self) -> np.ndarray:
+        """Whether a place can be in another state than clean on a best path: a stretch around it gains what entering one costs."""
+        best = self.lost.copy()
+        for _, places, share in self.states:
+            best[places] = np.maximum(best[places], share)
+        gain = best - self.clean
+        # The most that a stretch ending, and one beginning, at each place can gain; a drop between texts keeps them apart.
+        total = np.cumsum(gain - np.where(np.concatenate([[False], self.last[:-1]]), 1e4, 0.0))
+        before = np.concatenate([[0.0], total[:-1]])
+        first = np.concatenate([[True], self.last[:-1]])
+        before = np.where(first, total - gain, before)
+        until = total - np.minimum.accumulate(before)
+        onward = np.maximum.accumulate(total[::-1])[::-1] - before
+        return until + onward - gain >= -ENTER - 1e-6
+
+    def path(self) -> np.ndarray:
+        """The state of each place: 0 clean, 1 lost, 2.. the pairs, by Viterbi decoding."""
+        n, count = len(self.at), 2 + len(pairs())
+        path = np.zeros(n, np.int64)
+        torn = self.torn() if n else np.zeros(0, bool)
+        if not torn.any():
+            return path
+        rows = np.flatnonzero(torn)
+        row_of = np.full(n, -1)
+        row_of[rows] = np.arange(len(rows))
+        emit = np.full((len(rows), count), IMPOSSIBLE)
+        emit[:, 0], emit[:, 1] = self.clean[rows], self.lost[rows]
+        for s, places, share in self.states:
+            held = row_of[places]
+            emit[held[held >= 0], s] = share[held >= 0]
+        opens = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1] + 1) | self.last[rows[:-1]]]))
+        lengths = np.diff(np.append(opens, len(rows)))
+        path[rows] = best_paths(emit, opens, lengths, self.last[rows[opens + lengths - 1]])
+        return path
+
+
+def best_paths(emit: np.ndarray, opens: np.ndarray, lengths: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The best states of the rows of each stretch (opens, lengths), all stretches at once; one that doesn't end its text goes back to the clean state.
+
+    Staying costs nothing, another state costs ENTER or LEAVE. Of equal paths the one that leaves a pair's state last counts:
+    letters that could be either belong to the span before them.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    opens, lengths, ends = opens[order], lengths[order], ends[order]
+    states = emit.shape[1]
     everyone = np.arange(states)
-    for i in range(1, n):
-        best = int(score.argmax())
-        switch = np.where(everyone == 0, LEAVE, (ENTER if best == 0 else ENTER + LEAVE))
-        moved = score[best] + switch
-        from_clean = score[0] + np.where(everyone == 0, 0.0, ENTER)
-        # Of equal paths the one that leaves a pair's state last: letters that could be either belong to the span before them.
+    back = np.zeros(emit.shape, np.int8)
+    score = emit[opens] + np.where(everyone == 0, 0.0, ENTER)
+    for t in range(1, int(lengths[0])):
+        live = int(np.searchsorted(-lengths, -t))
+        now, rows = score[:live], opens[:live] + t
+        best = now[:, 1:].argmax(1) + 1
+        dearest = now[np.arange(live), best]
+        moved, from_clean = (dearest + ENTER + LEAVE)[:, None], now[:, :1] + ENTER
         other = np.maximum(moved, from_clean)
-        stays = np.where(everyone == 0, score > moved, score >= other)
-        origin = np.where(stays, everyone, np.where((everyone > 0) & (from_clean >= moved), 0, best))
-        back[i] = origin
-        score = np.maximum(score, np.maximum(moved, from_clean)) + emit[i]
-    path = np.zeros(n, np.int64)
-    path[-1] = int(score.argmax())
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
-    return places, path
-
-
-def beside(points: np.ndarray) -> np.ndarray:
-    """Where a character outside ASCII follows another."""
-    wide = points > 127
-    return np.flatnonzero(wide[1:] & wide[:-1]) + 1
-
-
-@lru_cache(maxsize=1)
-def best_alone() -> np.ndarray:
-    """The most that any pair's state can give each code point as a unit of its own: how well its class stands at best."""
-    at_best = {LAT_UP: -4.0, CJK: -4.0, BOX: -4.0, SYMBOL: -5.0, LOW_QUOTE: -5.0, INVISIBLE: -5.0, OTHER: -6.0, RARE: -7.0, C1: -16.0, LAT_LOW: -3.0, QUOTE: -3.0, CYR: -3.0, GREEK: -3.0}
-    out = np.full(0x10000, IMPOSSIBLE)
-    for pair in pairs():
-        if pair.wide:
-            made = [(raw, raw.decode(pair.read_as, "ignore"), raw.decode()) for lead in range(0xC2, 0xE0) for raw in (bytes([lead, tail]) for tail in range(0x80, 0xC0))]
-            known = [(c, decoded) for raw, c, decoded in made if len(c) == 1]
-        else:
-            known = [(c, pair.char_of[b]) for c, b in pair.byte_of.items() if b in pair.char_of]
-        for c, decoded in known:
-            out[ord(c)] = max(out[ord(c)], at_best.get(int(classes()[ord(decoded)]), 0.0))
+        origin = np.where(now >= other, everyone, np.where(from_clean >= moved, 0, best[:, None]))
+        origin[:, 0] = np.where(now[:, 0] > dearest + LEAVE, 0, best)
+        back[rows] = origin
+        reached = np.maximum(now, other)
+        reached[:, 0] = np.maximum(now[:, 0], dearest + LEAVE)
+        score[:live] = reached + emit[rows]
+    best = score[:, 1:].argmax(1) + 1
+    dearest = score[np.arange(len(score)), best]
+    state = np.where(np.where(ends, score[:, 0] >= dearest, score[:, 0] > dearest + LEAVE), 0, best)
+    path = np.zeros(len(emit), np.int64)
+    for t in range(int(lengths[0]) - 1, -1, -1):
+        live = int(np.searchsorted(-lengths, -t))
+        rows = opens[:live] + t
+        path[rows] = state[:live]
+        state[:live] = back[rows, state[:live]] if t else state[:live]
+    return path
+
+
+def _turned_back(text: str, places: list[int], path: list[int], undone: list[str]) -> str:
+    """The text with each labelled span turned back; adds the names of the states to undone."""
+    own, out, at, i = pairs(), [], 0, 0
+    while i < len(places):
+        j = i
+        while j + 1 < len(places) and path[j + 1] == path[i]:
+            j += 1
+        state = path[i]
+        if state:
+            lo, hi = places[i], places[j] + 1
+            name = LOST if state == 1 else own[state - 2].name
+            if name not in undone:
+                undone.append(name)
+            if state > 1:
+                out += [text[at:lo], own[state - 2].apply(text, places[i : j + 1], lo, hi)]
+                at = hi
+        i = j + 1
+    return "".join(out) + text[at:]
+
+
+def restore_all(texts: list[str]) -> list[tuple[str, list[str]]]:
+    """(text as far as it can be restored, pairs in the order they were undone) of each text; no pairs if it is clean.
+
+    A text is decoded again as long as it changes; one that comes back to a form it had before is left in it.
+    """
+    out: list[tuple[str, list[str]]] = [(x, []) for x in texts]
+    seen: dict[int, set[str]] = {}
+    todo = list(range(len(texts)))
+    while todo:
+        chunk, size = [], 0
+        while todo and (not chunk or size + len(out[todo[-1]][0]) <= BATCH_CHARS):
+            chunk.append(todo.pop())
+            size += len(out[chunk[-1]][0])
+        found = Places([out[i][0] for i in chunk])
+        path = found.path()
+        for row in np.unique(found.text[path > 0]).tolist():
+            i = chunk[row]
+            lo, hi = np.searchsorted(found.text, [row, row + 1])
+            before, undone = out[i]
+            after = _turned_back(before, found.inside[lo:hi].tolist(), path[lo:hi].tolist(), undone)
+            out[i] = after, undone
+            seen.setdefault(i, set()).add(before)
+            if after not in seen[i]:
+                todo.append(i)
     return out
 
 
-def gains(points: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """What each character outside ASCII can gain at most under another state as a unit of its own."""
-    return np.where((points > 127) & (points < 0x10000), np.maximum(0.0, best_alone()[np.minimum(points, 0xFFFF)] - clean), 0.0)
-
-
-def settled(text: str, points: np.ndarray, clean: np.ndarray) -> bool:
-    """Whether no path through another state can win."""
-    if not len(points):
-        return True
-    if clean.min() < PLAIN or gains(points, clean).sum() >= -ENTER or GBK_LOST in text:
-        return False
-    if not len(beside(points)):
-        return True
-    places = np.flatnonzero(points > 127).tolist()
-    return not any(end - begin > 1 for pair in pairs() for begin, end, _ in pair.units(text, places))
-
-
 def restore(text: str) -> tuple[str, list[str]]:
-    """(text as far as it can be restored, pairs in the order they were undone); no pairs if the text is clean."""
-    undone: list[str] = []
-    own = pairs()
-    for _ in range(ROUNDS):
-        points = _points(text)
-        clean = standing(points)
-        if settled(text, points, clean):
-            break
-        places, path = labels(text, points, clean)
-        if not path.any():
-            break
-        out, at, i, changed = [], 0, 0, False
-        while i < len(places):
-            j = i
-            while j + 1 < len(places) and path[j + 1] == path[i]:
-                j += 1
-            state = int(path[i])
-            if state:
-                lo, hi = places[i], places[j] + 1
-                name = LOST if state == 1 else own[state - 2].name
-                if name not in undone:
-                    undone.append(name)
-                if state > 1:
-                    piece = own[state - 2].apply(text, places, lo, hi)
-                    changed |= piece != text[lo:hi]
-                    out += [text[at:lo], piece]
-                    at = hi
-            i = j + 1
-        text = "".join(out) + text[at:]
-        if not changed:
-            break
-    return text, undone
+    """restore_all of one text."""
+    return restore_all([text])[0]
 
 
 def repair_encoding(df: DataFrame, *, key: str, text: str) -> DataFrame:
@@ -336,15 +454,8 @@ def repair_encoding(df: DataFrame, *, key: str, text: str) -> DataFrame:
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            values = part.column(1).to_pylist()
             taken, texts, names = [], [], []
-            # One look at the whole batch: line ends between texts keep neighbours apart.
-            joined = _points("\n".join(values) + "\n")
-            clean, ends = standing(joined), np.cumsum([len(v) + 1 for v in values])
-            poor = np.concatenate([np.flatnonzero(clean < PLAIN), beside(joined)])
-            dear = np.flatnonzero(np.add.reduceat(gains(joined, clean), np.concatenate([[0], ends[:-1]])) >= -ENTER) if values else []
-            for row in np.union1d(np.searchsorted(ends, poor, "right"), dear).astype(int).tolist():
-                restored, undone = restore(values[row])
+            for row, (restored, undone) in enumerate(restore_all(part.column(1).to_pylist())):
                 if undone:
                     taken.append(row)
                     texts.append(restored)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from strandline.llm import encoding, markup, names, pii
@@ -176,8 +177,7 @@ def test_encoding_of_texts_that_stand_well(spark):
     assert all(0x4E00 <= ord(c) < 0xA000 for c in bad)
     cases["g"] = (f"see {bad} here", "see 东京 here", "utf-8 as gbk")
     for bad, good, pair in cases.values():
-        points = encoding._points(bad)
-        assert encoding.standing(points).min() >= encoding.PLAIN and encoding.restore(bad) == (good, [pair])
+        assert encoding.restore(bad) == (good, [pair])
     lost = "see " + encoding.GBK_LOST * 2 + " here"
     assert encoding.restore(lost) == (lost, [encoding.LOST])
     clean = ["Он жил в городе, где пили вино. Россия и Сибирь", "中文维基百科是一个自由的百科全书", "Größe, Élan, café Ünïcode", "东京 大阪"]
@@ -185,3 +185,20 @@ def test_encoding_of_texts_that_stand_well(spark):
     df = spark.createDataFrame([(k, v[0]) for k, v in cases.items()] + [("lost", lost)] + [(f"z{i}", t) for i, t in enumerate(clean)], "rev string, text string")
     got = {r.rev: (r.restored, r.complete) for r in encoding.repair_encoding(df, key="rev", text="text").collect()}
     assert got == {k: (v[1], True) for k, v in cases.items()} | {"lost": (lost, False)}
+
+
+def test_encoding_garbled_many_times():
+    for times in (1, 4, 6, 8):
+        fixed, undone = encoding.restore(garbled(GERMAN, *[("utf-8", "cp1252")] * times))
+        assert fixed == GERMAN and undone == ["utf-8 as cp1252"]
+
+
+def test_encoding_stretches_equal_whole_texts(monkeypatch):
+    """The stretches that reach the model give the labels that decoding every character gives."""
+    parts = [GERMAN, QUOTES, "Он жил в городе, где пили вино.", "中文维基百科", "l�st", garbled(QUOTES, ("utf-8", "cp1252")), garbled("вино и дом", ("utf-8", "cp1251")), garbled(GERMAN, ("cp1252", "mac_roman")), encoding.GBK_LOST, "plain", "東京".encode().decode("gbk", "ignore")]
+    rng = random.Random(5)
+    texts = [" ".join(rng.sample(parts, rng.randint(1, 5))) for _ in range(60)]
+    got = encoding.restore_all(texts)
+    assert got == [encoding.restore(x) for x in texts]
+    monkeypatch.setattr(encoding.Places, "torn", lambda self: np.ones(len(self.at), bool))
+    assert got == encoding.restore_all(texts)
