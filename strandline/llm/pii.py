@@ -7,46 +7,61 @@ tokens around it. The model is trained on the driver from a small labelled table
 (``TABLE_ROWS`` texts, a documented bound) by AdaGrad on the exact likelihood, and sent to
 the workers: a fixed number of weights, whatever the data.
 
-Decoding is Viterbi over many texts at once in numpy. A text is labelled whole; there is no
-shuffle.
+Decoding is Viterbi in numpy, over all lines of a batch of texts one token at a time: nothing reaches across a line
+end. A text is labelled whole; there is no shuffle.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.pii_table import GIVEN, TITLES, table
+from strandline.llm.names import NICKNAMES
+from strandline.llm.pii_table import BEGINNINGS, BOXES, CUES, GIVEN, PARTICLES, TITLES, WAYS_EN, WAYS_ES, WAYS_FR, WAYS_IT, WAYS_PL, table
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 LABELS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
 L = len(LABELS)
-#: Labelled texts that the model is fitted on, rounds over them, and hashed feature slots.
-TABLE_ROWS, EPOCHS, SLOTS = 2_400, 6, 1 << 17
+#: Labelled texts that the model is fitted on, rounds over them, and hashed feature slots (a power of two).
+TABLE_ROWS, EPOCHS, SLOTS = 8_000, 4, 1 << 17
 OFFSETS = (-4, -3, -2, -1, 0, 1, 2, 3)
+#: Share of the tokens whose word is hidden while the model is trained, so that it learns to do without.
+HIDDEN = 0.25
 #: Token forms whose scores a worker remembers; beyond, it forgets all and starts anew.
-MEMO = 120_000
+MEMO = 200_000
 #: Texts that are decoded together.
 BATCH = 512
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\s]|\n")
-_NUMBER = re.compile(r"[(+]{0,2}[A-Z]{0,2}\d[A-Z\d]*(?:(?:[ \-./]{1,2}|\) ?| ?\()(?:[A-Z]{0,4}\d[A-Z\d]*|[A-Z]{1,4})(?![a-z]))*")
-_EMAIL = re.compile(
-    r"(?<![\w.+\-])(?:mailto:)?[\w.+\-]+(?:@|%40|\[@\]|\s@\s|\s?[(\[{]\s?(?:at|@)\s?[)\]}]\s?|\sat\s(?=[\w\-]+(?:\sdot\s[\w\-]+)+))[\w\-]+(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)[\w\-]+)*", re.I
-)
+_NUMBER = re.compile(r"[(+]{0,2}[A-Z]{0,6}\d[A-Z\d]*(?:(?:[ \-./]{1,2}|\) ?| ?\()(?:[A-Z]{0,4}\d[A-Z\d]*|[A-Z]{1,4})(?![a-z]))*")
+_AT = r"(?:@|%40|\s@\s|\s?[(\[{]\s?(?:at|@)\s?[)\]}]\s?|\sat\s)"
+_DOT = r"(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)"
+_EMAIL = re.compile(rf"(?<![\w.+\-])(?:mailto:)?[\w+\-]+(?:\.[\w+\-]+)*{_AT}[\w\-]+(?:{_DOT}[\w\-]+)*{_DOT}[a-z]{{2,}}(?![\w\-])", re.I)
 _URL = re.compile(r"(?:\b[a-z]{2,6}:)?//\S+|\bwww\.\S+", re.I)
 _SIGNOFF = re.compile(r"(?:^|\s)-- ?\S[^\n]*$", re.M)
-_GIVEN = {x.lower() for x in GIVEN}
+_GIVEN = {*(x.lower() for x in GIVEN), *NICKNAMES}
 _TITLE = {x.lower().rstrip(".") for x in TITLES}
-_WAY = re.compile(r"(?:stra(?:ß|ss)e|str|weg|gasse|allee|platz)$")
+_PARTICLE = {w for x in PARTICLES for w in x.split()}
+_STREET = {x.lower().rstrip(".") for x in (*WAYS_EN, *WAYS_ES, *WAYS_FR, *WAYS_IT, *WAYS_PL)}
+_BOX = {w.lower() for x in BOXES for w in re.findall(r"\w+", x) if len(w) > 1}
+_BEGIN = {x.split()[0].lower() for x in BEGINNINGS}
+_CUE = {w.lower(): k for k in ("telcue", "idcue", "mailcue") for x in CUES[k] for w in re.findall(r"[^\W\d_]+", x) if len(w) > 2 and w not in ("number", "card", "write", "contact", "national")}
+_WAY = re.compile(r"(?:stra(?:ß|ss)e|str|weg|gasse|allee|platz|straat|laan|gracht|kade|plein)$")
 _BITS = {"email": 1, "url": 2, "signoff": 4, "space": 8}
+_AS_SHAPE = {**{ord(c): "9" for c in "0123456789"}, **{c: "A" for c in range(65, 91)}}
+#: Marks of stretches: (name, pattern, what a text must have for it); numbers have no name.
+_MARKS = (("email", _EMAIL, re.compile(r"@|%40|\bat\b", re.I)), ("url", _URL, re.compile(r"//|www", re.I)), ("signoff", _SIGNOFF, re.compile("--")), ("", _NUMBER, None))
+#: What stands between texts: no token, no features.
+_GAP = ("", 0, "", False)
 
 
 def _shape(word: str) -> str:
@@ -59,45 +74,118 @@ def _shape(word: str) -> str:
 
 def tokens(text: str) -> tuple[list[tuple], list[int], list[int]]:
     """(token forms, begins, ends). A form is all that a token's features depend on."""
-    marks: list[tuple[int, int, int]] = []
-    for name, pattern in (("email", _EMAIL), ("url", _URL), ("signoff", _SIGNOFF)):
-        marks += [(m.start(), m.end(), _BITS[name]) for m in pattern.finditer(text)]
-    numbers = [(m.start(), m.end(), re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", m[0]))[:24]) for m in _NUMBER.finditer(text) if m.end() - m.start() > 4]
-    flags = {}
-    if marks:
-        for a, b, bit in marks:
-            for i in range(a, b):
-                flags[i] = flags.get(i, 0) | bit
-    forms, begins, ends, n, last = [], [], [], 0, -1
-    for m in _TOKEN.finditer(text):
-        a, b = m.span()
-        while n < len(numbers) and numbers[n][1] <= a:
-            n += 1
-        shape = numbers[n][2] if n < len(numbers) and numbers[n][0] <= a else ""
-        first = shape != "" and numbers[n][0] == a
-        forms.append((m[0], flags.get(a, 0) | (_BITS["space"] if a != last else 0), shape, first))
-        begins.append(a)
-        ends.append(b)
-        last = b
-    return forms, begins, ends
-
-
-def features(form: tuple) -> list[str]:
+    at = [m.span() for m in _TOKEN.finditer(text)]
+    if not at:
+        return [], [], []
+    begins, ends = map(list, zip(*at))
+    flags = [0 if a == b else 8 for a, b in zip(begins, [-1, *ends])]
+    shapes, firsts = [""] * len(at), [False] * len(at)
+    for name, pattern, hint in _MARKS:
+        if hint and not hint.search(text):
+            continue
+        for m in pattern.finditer(text):
+            a, b = m.span()
+            if not name and b - a < 5:
+                continue
+            # A number begins a token, or lies inside one and has none.
+            i = bisect_left(begins, a)
+            j = bisect_left(begins, b, i)
+            if name:
+                for t in range(i, j):
+                    flags[t] |= _BITS[name]
+            elif i < j:
+                # A leading zero is part of the shape.
+                shape = m[0].translate(_AS_SHAPE)[:28]
+                if m[0].lstrip("(+")[:1] == "0":
+                    shape = shape.replace("9", "o", 1)
+                shapes[i:j] = [shape] * (j - i)
+                firsts[i] = begins[i] == a
+    return list(zip([text[a:b] for a, b in at], flags, shapes, firsts)), begins, ends
+
+
+def features(form: tuple) -> tuple[list[str], list[str]]:
+    """(those that count at the token and beside it, those that count further off)."""
     word, flags, shape, first = form
+    if not word:
+        return [], []
     low = word.lower()
-    out = ["1", "s" + _shape(word), f"f{flags}", f"e{flags & 1}", f"g{flags & 4}"]
-    if not word.isdigit():
-        out.append("w" + low)
+    kind = _shape(word)
+    near, far = ["1", f"f{flags}", f"e{flags & 1}{kind[0]}", f"g{flags & 4}"], ["s" + kind]
+    if not word.isdigit() and word != "\0":
+        far.append("w" + low)
     if len(word) > 2 and word.isalpha():
-        out += ["p" + low[:3], "q" + low[-3:], "r" + low[-2:]]
+        near += ["p" + low[:3], "q" + low[-3:], "r" + low[-2:]]
         if _WAY.search(low):
-            out.append("way")
-    if low in _GIVEN:
-        out.append("given" + _shape(word))
-    if low in _TITLE and word[0].isupper():
-        out.append("title")
+            far.append("way")
+    if word[0].isupper() and low in _GIVEN:
+        far.append("given")
+    if word[0].isupper() and low in _TITLE:
+        far.append("title")
+    if low in _PARTICLE:
+        far.append("particle")
+    if low in _STREET:
+        far.append("street" + kind)
+    if low in _BOX and word[0].isupper():
+        far.append("box")
+    if low in _BEGIN:
+        far.append("begin" + kind)
+    if low in _CUE:
+        far.append("cue" + _CUE[low])
     if shape:
-        out += ["n" + shape, f"n1{shape}{first}", f"m{min(sum(c == '9' for c in shape), 13)}{first}"]
+        digits = min(shape.count("9") + shape.count("o"), 17)
+        far.append("n" + shape)
+        near += [f"n1{shape}{first}", f"m{digits}{first}", f"h{shape[:3]}{digits}", f"k{''.join(dict.fromkeys(shape))}{digits}"]
+    return near + far, far
+
+
+def hidden(form: tuple) -> tuple:
+    """A form without its word: of letters only the shape is left."""
+    word, *rest = form
+    return (word if not word.isalpha() or len(word) == 1 else "Zq" if word[0].isupper() and not word.isupper() else "ZQ" if word.isupper() else "zq", *rest)
+
+
+_SPREAD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09], np.uint64)
+
+
+def hashed(forms: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(number of features of each form, hashes of them all) of the near features, and of the far ones."""
+    out = []
+    each = [features(f) for f in forms]
+    for side in (0, 1):
+        names = [x[side] for x in each]
+        flat = np.fromiter((zlib.crc32(n.encode()) for x in names for n in x), np.uint64)
+        out.append((np.fromiter(map(len, names), np.int64, len(names)), flat))
+    return out
+
+
+def slots(hashes: np.ndarray, k: int, size: int) -> np.ndarray:
+    """Where the weights of hashed features stand for the k-th offset."""
+    return ((((hashes + np.uint64(k)) * _SPREAD[k]) & np.uint64(0xFFFFFFFF)) >> np.uint64(33 - size.bit_length())).astype(np.int64)
+
+
+def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [begin, begin + length), one after the other."""
+    total = np.cumsum(lengths)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(begins - (total - lengths), lengths)
+
+
+def _lines(forms: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, length) of each stretch of tokens between line ends and gaps, the longest first."""
+    stop = np.fromiter((f[0] in ("\n", "") for f in forms), bool, len(forms))
+    inside = np.concatenate([[False], ~stop, [False]]).astype(np.int8)
+    step = np.diff(inside)
+    begins, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    order = np.argsort(begins - ends, kind="stable")
+    return begins[order], (ends - begins)[order]
+
+
+def joined(parsed: list[list[tuple]]) -> list[tuple]:
+    """The forms of several texts with gaps between them, so wide that no text reaches into another."""
+    gap = [_GAP] * max(map(abs, OFFSETS))
+    out = list(gap)
+    for forms in parsed:
+        out += forms
+        out += gap
     return out
 
 
@@ -119,69 +207,66 @@ class Field:
                         self.allowed[i, j] = -1e4
         self.first = np.array([-1e4 if x[0] == "I" else 0 for x in LABELS], np.float32)
 
-    def slots_of(self, form: tuple) -> list[list[int]]:
-        names = features(form)
-        near = [x for x in names if x[0] not in "pqrfge1" or x.startswith("given")]
-        return [[zlib.crc32(f"{o}{x}".encode()) % len(self.w) for x in (names if abs(o) < 2 else near)] for o in OFFSETS]
+    def scored(self, forms: list[tuple]) -> np.ndarray:
+        """(len(forms), offsets, L): what each form says about the tokens around it."""
+        out = np.zeros((len(forms), len(OFFSETS), L), np.float32)
+        near, far = hashed(forms)
+        for k, o in enumerate(OFFSETS):
+            many, flat = near if abs(o) < 2 else far
+            some = np.flatnonzero(many)
+            if len(some):
+                heads = (np.cumsum(many) - many)[some]
+                out[some, k] = np.add.reduceat(self.w[slots(flat, k, len(self.w))], heads)
+        return out
 
     def emissions(self, forms: list[tuple]) -> np.ndarray:
-        """(len(forms), L) for the tokens of one text."""
+        """(len(forms), L) for joined texts."""
         if len(self.ids) > MEMO:
             self.ids, self.scores = {}, np.zeros((0, len(OFFSETS), L), np.float32)
         new = [f for f in dict.fromkeys(forms) if f not in self.ids]
         if new:
-            fresh = np.stack([np.stack([self.w[s].sum(0) for s in self.slots_of(f)]) for f in new])
-            if len(self.ids) + len(new) > len(self.scores):
-                grown = np.zeros((2 * (len(self.ids) + len(new)) + 1024, len(OFFSETS), L), np.float32)
-                grown[: len(self.ids)] = self.scores[: len(self.ids)]
+            have = len(self.ids)
+            if have + len(new) > len(self.scores):
+                grown = np.zeros((2 * (have + len(new)) + 1024, len(OFFSETS), L), np.float32)
+                grown[:have] = self.scores[:have]
                 self.scores = grown
-            self.scores[len(self.ids) : len(self.ids) + len(new)] = fresh
-            for f in new:
-                self.ids[f] = len(self.ids)
+            self.scores[have : have + len(new)] = self.scored(new)
+            self.ids.update(zip(new, count(have)))
         ids = np.fromiter(map(self.ids.__getitem__, forms), np.int64, len(forms))
         out = np.zeros((len(forms), L), np.float32)
         for k, o in enumerate(OFFSETS):
-            if abs(o) < len(forms):
-                # The token at i + o speaks for the token at i.
-                if o >= 0:
-                    out[: len(forms) - o] += self.scores[ids[o:], k]
-                else:
-                    out[-o:] += self.scores[ids[:o], k]
-        # Nothing reaches across a line end.
-        out[[f[0] == "\n" for f in forms], 1:] = -1e4
+            # The token at i + o speaks for the token at i.
+            if o >= 0:
+                out[: len(forms) - o] += self.scores[ids[o:], k]
+            else:
+                out[-o:] += self.scores[ids[:o], k]
         return out
 
-    def decode(self, batch: list[np.ndarray]) -> list[np.ndarray]:
-        """The best label sequence of each text's emissions, all texts at once."""
-        order = sorted(range(len(batch)), key=lambda i: -len(batch[i]))
-        lengths = np.array([len(batch[i]) for i in order])
-        longest = int(lengths[0]) if len(lengths) else 0
-        padded = np.zeros((longest, len(order), L), np.float32)
-        for k, i in enumerate(order):
-            padded[: len(batch[i]), k] = batch[i]
+    def decode(self, emit: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The best label of each token, all lines (the longest first) one token at a time; O outside of lines."""
+        path = np.zeros(len(emit), np.int64)
+        if not len(begins):
+            return path
         trans = self.t + self.allowed
-        score = padded[0] + self.start + self.first if longest else np.zeros((len(order), L), np.float32)
-        back = np.zeros((longest, len(order), L), np.int8)
-        final = score.copy()
-        for t in range(1, longest):
-            live = int((lengths > t).sum())
-            moved = score[:live, :, None] + trans
-            back[t, :live] = moved.argmax(1)
-            score = moved.max(1) + padded[t, :live]
-            final[:live] = score
-        path = np.zeros((longest, len(order)), np.int64)
-        best = final.argmax(1)
-        for t in range(longest - 1, -1, -1):
-            here = lengths > t
-            ends = lengths - 1 == t
-            path[t, ends] = best[ends]
-            inner = here & ~ends
-            if inner.any():
-                path[t, inner] = back[t + 1, inner, path[t + 1, inner]]
-        out: list = [None] * len(batch)
-        for k, i in enumerate(order):
-            out[i] = path[: len(batch[i]), k]
-        return out
+        back = np.zeros((len(emit), L), np.int8)
+        score = emit[begins] + self.start + self.first
+        live_at = [int(x) for x in np.searchsorted(-lengths, -np.arange(int(lengths[0])))]
+        into = np.ascontiguousarray(trans.T)
+        for t in range(1, int(lengths[0])):
+            live = live_at[t]
+            rows = begins[:live] + t
+            moved = score[:live, None, :] + into
+            best = moved.argmax(2)
+            back[rows] = best
+            score[:live] = np.take_along_axis(moved, best[:, :, None], 2)[:, :, 0] + emit[rows]
+        state = score.argmax(1)
+        for t in range(int(lengths[0]) - 1, -1, -1):
+            live = live_at[t] if t else len(begins)
+            rows = begins[:live] + t
+            path[rows] = state[:live]
+            if t:
+                state[:live] = back[rows, state[:live]]
+        return path
 
 
 def _gold(begins: list[int], ends: list[int], spans: list[tuple[int, int, str]]) -> np.ndarray:
@@ -193,73 +278,78 @@ def _gold(begins: list[int], ends: list[int], spans: list[tuple[int, int, str]])
     return out
 
 
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis)
+    return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis))
+
+
 @lru_cache(maxsize=2)
 def trained(rows: int = TABLE_ROWS, epochs: int = EPOCHS, seed: int = 7) -> Field:
     """The field fitted to the labelled table by AdaGrad; deterministic."""
-    field = Field()
-    data = []
-    memo: dict[tuple, np.ndarray] = {}
-    for text, spans in table(rows, seed):
-        forms, begins, ends = tokens(text)
-        for f in forms:
-            if f not in memo:
-                memo[f] = field.slots_of(f)
-        at, slot = [], []
-        for i in range(len(forms)):
-            for k, o in enumerate(OFFSETS):
-                if 0 <= i + o < len(forms):
-                    found = memo[forms[i + o]][k]
-                    slot += found
-                    at += [i] * len(found)
-        data.append((np.array(at), np.array(slot), _gold(begins, ends, spans)))
-    rng = np.random.default_rng(seed)
+    field, rng = Field(), np.random.default_rng(seed)
+    parsed = [(*tokens(text), spans) for text, spans in table(rows, seed)]
+    texts = [[hidden(f) if h else f for f, h in zip(forms, rng.random(len(forms)) < HIDDEN)] for forms, *_ in parsed]
+    golds = [_gold(begins, ends, spans) for _, begins, ends, spans in parsed]
+    kinds = {f: i for i, f in enumerate(dict.fromkeys(f for forms in [*texts, [_GAP]] for f in forms))}
+    sides = hashed(list(kinds))
+    heads_of = [np.cumsum(many) - many for many, _ in sides]
     gw, gt, gs = np.full(field.w.shape, 1e-2, np.float32), np.full((L, L), 1e-2, np.float32), np.full(L, 1e-2, np.float32)
-    size = 24
+    size = 48
+    # The weights are the mean over the last rounds: single steps leave less behind.
+    mean_w, mean_t, mean_s, steps = np.zeros_like(field.w), np.zeros_like(field.t), np.zeros_like(field.start), 0
     for epoch in range(epochs):
-        rate = 0.4 / (1 + epoch / 3)
-        order = rng.permutation(len(data))
+        rate = 0.4 / (1 + epoch / 2)
+        order = rng.permutation(len(texts))
         for begin in range(0, len(order), size):
-            chosen = [data[i] for i in order[begin : begin + size]]
-            lengths = np.array([len(g) for _, _, g in chosen])
-            longest = lengths.max()
-            emit = np.zeros((longest, len(chosen), L))
-            flat = emit.reshape(-1, L)
-            where = np.concatenate([a * len(chosen) + k for k, (a, _, _) in enumerate(chosen)])
-            slots = np.concatenate([s for _, s, _ in chosen])
-            # The features of a token stand together, so sums by token are sums of stretches.
+            chosen = order[begin : begin + size].tolist()
+            forms = joined([texts[i] for i in chosen])
+            gap = np.zeros(max(map(abs, OFFSETS)), np.int64)
+            gold = np.concatenate([gap, *(x for i in chosen for x in (golds[i], gap))])
+            ids = np.fromiter(map(kinds.__getitem__, forms), np.int64, len(forms))
+            n = len(forms)
+            where, slot = [], []
+            for k, o in enumerate(OFFSETS):
+                side = 0 if abs(o) < 2 else 1
+                many, flat = sides[side]
+                at = np.arange(max(0, -o), min(n, n - o))
+                lengths = many[ids[at + o]]
+                where.append(np.repeat(at, lengths))
+                slot.append(slots(flat[_ranges(heads_of[side][ids[at + o]], lengths)], k, len(field.w)))
+            where, slot = np.concatenate(where), np.concatenate(slot)
+            by_place = np.argsort(where, kind="stable")
+            where, slot = where[by_place], slot[by_place]
             heads = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-            flat[where[heads]] = np.add.reduceat(field.w[slots], heads)
+            emit = np.zeros((n, L))
+            emit[where[heads]] = np.add.reduceat(field.w[slot], heads)
+            opens, lengths = _lines(forms)
+            longest = int(lengths[0])
+            live = np.searchsorted(-lengths, -np.arange(longest))
             trans = (field.t + field.allowed).astype(float)
-            live = np.arange(longest)[:, None] < lengths
-            alpha = np.zeros((longest, len(chosen), L))
-            beta = np.zeros_like(alpha)
-            alpha[0] = emit[0] + field.start + field.first
+            alpha, beta = np.zeros((n, L)), np.zeros((n, L))
+            alpha[opens] = emit[opens] + field.start + field.first
             for t in range(1, longest):
-                x = alpha[t - 1][:, :, None] + trans
-                top = x.max(1)
-                a = top + np.log(np.exp(x - top[:, None]).sum(1)) + emit[t]
-                alpha[t] = np.where(live[t][:, None], a, alpha[t - 1])
+                now = opens[: live[t]] + t
+                alpha[now] = _log_sum(alpha[now - 1][:, :, None] + trans, 1) + emit[now]
             for t in range(longest - 2, -1, -1):
-                x = trans + (emit[t + 1] + beta[t + 1])[:, None, :]
-                top = x.max(2)
-                b = top + np.log(np.exp(x - top[:, :, None]).sum(2))
-                beta[t] = np.where(live[t + 1][:, None], b, 0.0)
-            top = alpha[-1].max(1)
-            z = top + np.log(np.exp(alpha[-1] - top[:, None]).sum(1))
-            grad = -np.exp(np.minimum(alpha + beta - z[:, None], 0.0)) * live[:, :, None]
-            pairs = np.zeros((L, L))
-            for t in range(1, longest):
-                x = alpha[t - 1][:, :, None] + trans + (emit[t] + beta[t])[:, None, :] - z[:, None, None]
-                pairs -= (np.exp(np.minimum(x, 0.0)) * live[t][:, None, None]).sum(0)
-            first = grad[0].sum(0)
-            for k, (_, _, gold) in enumerate(chosen):
-                grad[np.arange(len(gold)), k, gold] += 1
-                first[gold[0]] += 1
-                np.add.at(pairs, (gold[:-1], gold[1:]), 1)
-            by_slot = np.argsort(slots, kind="stable")
-            heads = np.flatnonzero(np.concatenate([[True], np.diff(slots[by_slot]) != 0]))
-            used = slots[by_slot][heads]
-            step = np.add.reduceat(grad.reshape(-1, L).astype(np.float32)[where[by_slot]], heads)
+                now = opens[: live[t + 1]] + t
+                beta[now] = _log_sum(trans + (emit[now + 1] + beta[now + 1])[:, None, :], 2)
+            z_of = _log_sum(alpha[opens + lengths - 1], 1)
+            inside = _ranges(opens, lengths)
+            z = np.zeros(n)
+            z[inside] = np.repeat(z_of, lengths)
+            grad = np.zeros((n, L))
+            grad[inside] = -np.exp(np.minimum(alpha[inside] + beta[inside] - z[inside, None], 0.0))
+            first = grad[opens].sum(0)
+            np.add.at(first, gold[opens], 1)
+            grad[inside, gold[inside]] += 1
+            later = np.setdiff1d(inside, opens)
+            x = alpha[later - 1][:, :, None] + trans + (emit[later] + beta[later])[:, None, :] - z[later][:, None, None]
+            pairs = -np.exp(np.minimum(x, 0.0)).sum(0)
+            np.add.at(pairs, (gold[later - 1], gold[later]), 1)
+            by_slot = np.argsort(slot, kind="stable")
+            heads = np.flatnonzero(np.concatenate([[True], np.diff(slot[by_slot]) != 0]))
+            used = slot[by_slot][heads]
+            step = np.add.reduceat(grad.astype(np.float32)[where[by_slot]], heads)
             step -= 2e-4 * field.w[used]
             gw[used] += step * step
             field.w[used] += rate * step / np.sqrt(gw[used])
@@ -267,13 +357,22 @@ def trained(rows: int = TABLE_ROWS, epochs: int = EPOCHS, seed: int = 7) -> Fiel
             field.t += (rate * pairs / np.sqrt(gt)).astype(np.float32)
             gs += (first * first).astype(np.float32)
             field.start += (rate * first / np.sqrt(gs)).astype(np.float32)
+            if epoch >= epochs - 3:
+                mean_w, mean_t, mean_s, steps = mean_w + field.w, mean_t + field.t, mean_s + field.start, steps + 1
+    if steps:
+        field.w, field.t, field.start = mean_w / steps, mean_t / steps, mean_s / steps
     return field
 
 
-#: Signs that names and addresses are written with.
-_WRITTEN = re.compile(r"[^\W_]+(?:[ .,:'’/\-]{1,3}[^\W_]+)*\.?")
+#: Signs that names and addresses are written with, also in links.
+_WRITTEN = re.compile(r"[^\W_]+(?:(?:[ .,:'’/+_º\-]|%20){1,3}[^\W_]+)*\.?")
+_ABBREVIATED = re.compile(r"(?i)\b(?:st|rd|ave|blvd|jr|sr|[a-z])\.\Z")
 #: What stands before a name, if not white space.
-_BEFORE = set("([{<\"'“‘«„>*_~|/:;,.-–—=!?")
+_BEFORE = set("([{<\"'“‘«„>*_~|/:;,.-–—=!?&")
+
+
+#: A blank, a plus and other signs as links write them.
+_ESCAPED = ("%20", "%2B", "%2b", "%3D", "%3A", "%26")
 
 
 def plausible(kind: str, text: str) -> bool:
@@ -282,15 +381,15 @@ def plausible(kind: str, text: str) -> bool:
     if kind == "email":
         return bool(re.search(r"@|%40|\bat\b", text, re.I)) and len(text) > 5
     if kind == "phone":
-        return 7 <= digits <= 16
+        return 7 <= digits <= 16 and not re.search(r"/\d{1,2}$", text)
     if kind == "id_number":
-        return digits >= 6 and bool(_WRITTEN.fullmatch(text))
+        return (digits >= 6 or (digits >= 2 and sum(c.isupper() for c in text) + digits >= 8)) and bool(_WRITTEN.fullmatch(text))
     if not _WRITTEN.fullmatch(text):
         return False
     if kind == "address":
         return digits >= 1 and any(c.isupper() for c in text)
-    words = re.findall(r"[^\W\d_]+", text)
-    return len(words) >= 2 and words[0][0].isupper() and words[-1][0].isupper() and any(len(w) > 2 for w in words) and not digits
+    words = re.findall(r"[^\W\d_]+", text.replace("%20", " "))
+    return sum(w not in _PARTICLE for w in words) >= 2 and (words[0][0].isupper() or words[0] in _PARTICLE) and words[-1][0].isupper() and len(words[-1]) > 1 and not sum(c.isdigit() for c in text.replace("%20", " "))
 
 
 def spans_of(text: str, begins: list[int], ends: list[int], path: np.ndarray) -> list[tuple[int, int, str]]:
@@ -308,8 +407,12 @@ def spans_of(text: str, begins: list[int], ends: list[int], path: np.ndarray) ->
         while j + 1 < n and path[j + 1] and LABELS[path[j + 1]] == "I-" + kind:
             j += 1
         a, b = begins[i], ends[j]
+        # The stop of a sentence isn't part of what ends it, but for an abbreviation.
+        if text[b - 1] == "." and not _ABBREVIATED.search(text, a, b):
+            b -= 1
         # A handle in a sign-off is no name, nor is the rest of a word.
-        other = kind == "name" and (any(x <= a and b <= y for x, y in handles) or (a and not text[a - 1].isspace() and text[a - 1] not in _BEFORE))
+        other = (a and text[a - 1].isalnum() and text[a - 3 : a] not in _ESCAPED) or (
+            kind == "name" and (any(x <= a and b <= y for x, y in handles) or (a and not text[a - 1].isspace() and text[a - 1] not in _BEFORE and text[a - 3 : a] not in _ESCAPED)))
         if plausible(kind, text[a:b]) and not other:
             out.append((a, b, kind))
         i = j + 1
@@ -319,12 +422,16 @@ def spans_of(text: str, begins: list[int], ends: list[int], path: np.ndarray) ->
 def find_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, str]]]:
     """The personal information in each text, by Viterbi in batches."""
     out = []
+    gap = max(map(abs, OFFSETS))
     for begin in range(0, len(texts), BATCH):
         chunk = texts[begin : begin + BATCH]
         parsed = [tokens(x) for x in chunk]
-        emits = [field.emissions(forms) for forms, _, _ in parsed]
-        for text, (_, begins, ends), path in zip(chunk, parsed, field.decode(emits)):
-            out.append(spans_of(text, begins, ends, path))
+        forms = joined([f for f, _, _ in parsed])
+        path = field.decode(field.emissions(forms), *_lines(forms))
+        at = gap
+        for text, (own, begins, ends) in zip(chunk, parsed):
+            out.append(spans_of(text, begins, ends, path[at : at + len(own)]))
+            at += len(own) + gap
     return out
 
 
@@ -347,13 +454,13 @@ def redact(df: DataFrame, *, key: str, text: str, rows: int = TABLE_ROWS) -> Dat
     """
     kind = df.schema[key].dataType.simpleString()
     model = trained(rows)
-    weights = (model.w[: len(model.w)], model.t, model.start)
-    sent = df.sparkSession.sparkContext.broadcast(weights)
+    # A worker process keeps the field, and with it what it remembers of token forms, from task to task.
+    model.ids, model.scores = {}, model.scores[:0]
+    sent = df.sparkSession.sparkContext.broadcast(model)
     found_type = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = Field(1)
-        field.w, field.t, field.start = sent.value
+        field = sent.value
         for part in parts:
             values = part.column(1).to_pylist()
             taken, texts, spans = [], [], []

@@ -3,8 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from strandline.llm import encoding, markup, names, pii
-from strandline.llm.pii_table import table
+from strandline.llm import encoding, markup, names
 
 
 def garbled(text, *pairs):
@@ -14,9 +13,9 @@ def garbled(text, *pairs):
     return text
 
 
-GERMAN = "Wir führen 3007 Einträge als mündliche Übersicht, während die tägliche Größe überarbeitet wird."
-QUOTES = "It’s clear at 3724 °C near Sota, says the café log … “done” – we’ve paid €12 for the naïve × résumé."
-POLISH = "Ktoś z Bawelam sprawdził dziś błędny część, choć brakuje 3480 wierszy, a zgłoszenie jest późny."
+GERMAN = "Für 3007 Gäste wäre die schöne Küche über dem Fluß zu eng, sagt Jürgen, während Käthe Äpfel schält."
+QUOTES = "It’s 24 °C in the café, “warmer” than June – we’ve paid €12 for a naïve façade … and a résumé."
+POLISH = "Źrebię śpi pod jabłonią, a żółty ptak śpiewa już od świtu, choć pada deszcz."
 
 
 @pytest.mark.parametrize("read_as", ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251"])
@@ -34,7 +33,7 @@ def test_double_and_single_byte():
         assert undone == ["cp1252 as mac_roman"] and sum(a != b for a, b in zip(fixed, text)) <= 6
 
 
-@pytest.mark.parametrize("text", [GERMAN, QUOTES, POLISH, "", "plain", "Fijoran São Âmbar 3221: «AÇÃO» kostet £8062 © 3990, ¿no? ±4839.", "Гавань Jevimon №14, Τελωνείο 8995, hồ 1262, Îlot 3963.", "├── rows_2067\n└── cols_8718 √147 ≈ 6494", "À Zicolik, où l’on a dit « déjà »", "日本語のテキスト", "¿Quién contó la señal?", "naive cafe", "Über Ärger"])
+@pytest.mark.parametrize("text", [GERMAN, QUOTES, POLISH, "", "plain", "São Luís 21: «SÃO JOÃO» kostet £80 © 39, ¿no? ±4.", "Музей Riga №14, Σταθμός 89, phố 12, Île 3.", "├── src_2\n└── lib_8 √14 ≈ 3.7", "À Lyon, où l’on a dit « déjà »", "日本語のテキスト", "¿Quién contó la señal?", "naive cafe", "Über Ärger"])
 def test_clean_texts_stay(text):
     assert encoding.restore(text) == (text, [])
 
@@ -88,46 +87,6 @@ def test_markup_edges(spark):
         markup.clean(unit * 4000)
 
 
-@pytest.fixture(scope="module")
-def field():
-    return pii.trained()
-
-
-def test_held_out_accuracy(field):
-    held = table(300, seed=99)
-    got = pii.find_spans([t for t, _ in held], field)
-    hit = sum(len(set(a) & set(b)) for a, (_, b) in zip(got, held))
-    assert hit / sum(map(len, got)) > 0.95 and hit / sum(len(b) for _, b in held) > 0.95
-
-
-def test_viterbi_against_all_paths(field):
-    import itertools
-
-    import numpy as np
-
-    r = np.random.default_rng(3)
-    batch = [r.normal(size=(n, pii.L)).astype(np.float32) * 3 for n in (1, 3, 2, 0, 4)]
-    for emit, path in zip(batch, field.decode(batch)):
-        def score(p, emit=emit):
-            x = sum(emit[i, k] for i, k in enumerate(p))
-            if len(p):
-                x += field.start[p[0]] + field.first[p[0]]
-            return x + sum(field.t[a, b] + field.allowed[a, b] for a, b in zip(p, p[1:]))
-
-        if len(emit) <= 3:
-            best = max(itertools.product(range(pii.L), repeat=len(emit)), key=score)
-            assert abs(score(best) - score(tuple(path))) < 1e-3
-
-
-def test_pii_edges(spark, field):
-    text = "Reach Dr. Theodore Hobiwunt on +44 7700 900044 about 12.\nWrite to ada.lov@mail.hakok.example about item 4."
-    df = spark.createDataFrame([("a", text, "x"), ("b", None, "x"), ("c", "", "x"), ("d", "No ledger was found at Mutojim.", "x"), ("a", text, "x"), ("e", "word " * 30_000, "x"), ("f", "a" * 60_000, "x")], "rev string, text string, found string")
-    got = pii.redact(df, key="rev", text="text").collect()
-    assert sorted(r.rev for r in got) == ["a", "a"]
-    assert got[0].redacted == "Reach [NAME] on [PHONE] about 12.\nWrite to [EMAIL] about item 4."
-    assert pii.redact(df.limit(0), key="rev", text="text").count() == 0
-
-
 @pytest.mark.parametrize(("name", "want"), [("Dr. O. Ditopamo", ("p", "ditopamo", ("o",))), ("Pijagkai, Iggy", ("p", "pijagkai", ("iggy",))), ("PelifufuFrederike", ("p", "pelifufu", ("frederike",))), ("KostjaFawasijiAug26Agent", ("p", "fawasiji", ("kostja",))), ("NehemefuFeb27", ("p", "nehemefu", ())), ("terisiti.k", ("p", "terisiti", ("k",))), ("ALEXANDRA PUNUJOZA", ("p", "punujoza", ("alexandra",))), ("Harbour Safety Institute of Dawobula", ("o", "dawobula", ("harbour", "institute", "safety"))), ("Lalofesi Institute f. Rive. Lev.", ("o", "lalofesi", ("institute", "levels", "river"))), ("CiretaguOHS", ("o", "ciretagu", ("o", "h", "s"))), ("bovehumu-fss", ("o", "bovehumu", ("f", "s", "s")))])
 def test_parse(name, want):
     assert names.parse(name)[0] == want
