@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count
@@ -41,7 +40,6 @@ MEMO = 200_000
 #: Texts that are decoded together.
 BATCH = 512
 
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\s]|\n")
 _NUMBER = re.compile(r"[(+]{0,2}[A-Z]{0,6}\d[A-Z\d]*(?:(?:[ \-./]{1,2}|\) ?| ?\()(?:[A-Z]{0,4}\d[A-Z\d]*|[A-Z]{1,4})(?![a-z]))*")
 _AT = r"(?:@|%40|\s@\s|\s?[(\[{]\s?(?:at|@)\s?[)\]}]\s?|\sat\s)"
 _DOT = r"(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)"
@@ -57,11 +55,17 @@ _BEGIN = {x.split()[0].lower() for x in BEGINNINGS}
 _CUE = {w.lower(): k for k in ("telcue", "idcue", "mailcue") for x in CUES[k] for w in re.findall(r"[^\W\d_]+", x) if len(w) > 2 and w not in ("number", "card", "write", "contact", "national")}
 _WAY = re.compile(r"(?:stra(?:ß|ss)e|str|weg|gasse|allee|platz|straat|laan|gracht|kade|plein)$")
 _BITS = {"email": 1, "url": 2, "signoff": 4, "space": 8}
-_AS_SHAPE = {**{ord(c): "9" for c in "0123456789"}, **{c: "A" for c in range(65, 91)}}
 #: Marks of stretches: (name, pattern, what a text must have for it); numbers have no name.
-_MARKS = (("email", _EMAIL, re.compile(r"@|%40|\bat\b", re.I)), ("url", _URL, re.compile(r"//|www", re.I)), ("signoff", _SIGNOFF, re.compile("--")), ("", _NUMBER, None))
-#: What stands between texts: no token, no features.
+_MARKS = (
+    ("email", _EMAIL, re.compile(r"@|%40|[(\[{]\s?at\s?[)\]}]|\sat\s\S+\sdot\s", re.I)),
+    ("url", _URL, re.compile(r"//|www", re.I)), ("signoff", _SIGNOFF, re.compile("--")), ("", _NUMBER, re.compile(r"\d\W?\d")),
+)
+_AS_SHAPE = {**{ord(c): "9" for c in "0123456789"}, **{c: "A" for c in range(65, 91)}}
+_DIGITS = ["9" * n for n in range(13)]
+#: What stands between texts: as many characters as features reach, each a token without features.
 _GAP = ("", 0, "", False)
+GAP = max(map(abs, OFFSETS))
+_BETWEEN = "\x00" * (GAP - 1) + "\n"
 
 
 def _shape(word: str) -> str:
@@ -72,35 +76,99 @@ def _shape(word: str) -> str:
     return "XX" if word.isupper() else "Xx" if word[0].isupper() and word[1:].islower() else "x" if word.islower() else "xX"
 
 
-def tokens(text: str) -> tuple[list[tuple], list[int], list[int]]:
-    """(token forms, begins, ends). A form is all that a token's features depend on."""
-    at = [m.span() for m in _TOKEN.finditer(text)]
-    if not at:
-        return [], [], []
-    begins, ends = map(list, zip(*at))
-    flags = [0 if a == b else 8 for a, b in zip(begins, [-1, *ends])]
-    shapes, firsts = [""] * len(at), [False] * len(at)
-    for name, pattern, hint in _MARKS:
-        if hint and not hint.search(text):
-            continue
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if not name and b - a < 5:
+def _stretches(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, length) of each stretch of true values, the longest first."""
+    step = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+    opens, closes = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    order = np.argsort(opens - closes, kind="stable")
+    return opens[order], (closes - opens)[order]
+
+
+def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [begin, begin + length), one after the other."""
+    total = np.cumsum(lengths)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(begins - (total - lengths), lengths)
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of each code point: 0 white space, 1 a letter, 2 a digit, 3 any other sign, 4 a line end."""
+    out = np.full(0x110000, 3, np.uint8)
+    out[0x20000:0x32000] = 1  # the planes of CJK ideographs
+    for c in range(0x20000):
+        x = chr(c)
+        out[c] = 2 if x.isdecimal() else 1 if x.isalnum() else 0 if x.isspace() else 3
+    out[10] = 4
+    return out
+
+
+class Parsed:
+    """The tokens of several texts: runs of letters, runs of digits, single signs and line ends, with gaps around each text.
+
+    forms: the different token forms, all that a token's features depend on; ids: the form of each token;
+    begins, ends: in ``joined``; places: (first token, one after the last, where the text begins in joined) of each text.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.joined = _BETWEEN + "".join(x + _BETWEEN for x in texts)
+        points = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = np.cumsum([len(_BETWEEN), *(lengths + len(_BETWEEN))])
+        kind = _kinds()[points]
+        gap = np.zeros(len(kind), bool)
+        gap[(starts[:, None] - np.arange(1, GAP + 1)).ravel()] = True
+        breaks = np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] > 2) | gap[1:] | gap[:-1]])
+        at = np.flatnonzero(breaks)
+        until = np.append(at[1:], len(kind))
+        some = kind[at] > 0
+        begins, ends = at[some], until[some]
+        kind = kind[begins]
+        n = len(begins)
+        flags = np.where(np.concatenate([[True], begins[1:] != ends[:-1]]), _BITS["space"], 0)
+        shape_of, first = np.zeros(n, np.int64), np.zeros(n, bool)
+        shapes = {"": 0}
+        for name, pattern, hint in _MARKS:
+            spans, found = [], []
+            for text, begin in zip(texts, starts.tolist()):
+                if hint.search(text):
+                    for m in pattern.finditer(text):
+                        a, b = m.span()
+                        if name or b - a > 4:
+                            spans.append((a + begin, b + begin))
+                            found.append(m[0])
+            if not spans:
                 continue
-            # A number begins a token, or lies inside one and has none.
-            i = bisect_left(begins, a)
-            j = bisect_left(begins, b, i)
+            a, b = np.array(spans).T
+            i, j = np.searchsorted(begins, a), np.searchsorted(begins, b)
+            inside = _ranges(i, j - i)
             if name:
-                for t in range(i, j):
-                    flags[t] |= _BITS[name]
-            elif i < j:
-                # A leading zero is part of the shape.
-                shape = m[0].translate(_AS_SHAPE)[:28]
-                if m[0].lstrip("(+")[:1] == "0":
-                    shape = shape.replace("9", "o", 1)
-                shapes[i:j] = [shape] * (j - i)
-                firsts[i] = begins[i] == a
-    return list(zip([text[a:b] for a, b in at], flags, shapes, firsts)), begins, ends
+                flags[inside] |= _BITS[name]
+                continue
+            # A number begins a token, or lies inside one and has none. A leading zero is part of its shape.
+            numbers = []
+            for x in found:
+                shape = x.translate(_AS_SHAPE)[:28]
+                numbers.append(shapes.setdefault(shape.replace("9", "o", 1) if x.lstrip("(+")[:1] == "0" else shape, len(shapes)))
+            shape_of[inside] = np.repeat(numbers, j - i)
+            some = j > i
+            first[i[some]] = begins[i[some]] == a[some]
+        # Of a run of digits only the length counts, so numbers share their forms.
+        lower, upper = begins.tolist(), ends.tolist()
+        words = [joined[a:b] for joined in (self.joined,) for a, b in zip(lower, upper)]
+        for t in np.flatnonzero(kind == 2).tolist():
+            words[t] = _DIGITS[min(upper[t] - lower[t], 12)]
+        known = dict(zip(dict.fromkeys(words), count()))
+        word_of = np.fromiter(map(known.__getitem__, words), np.int64, n)
+        key = ((word_of * len(shapes) + shape_of) * 2 + first) * 16 + flags
+        key[gap[begins]] = -1
+        _, where, self.ids = np.unique(key, return_index=True, return_inverse=True)
+        names = list(shapes)
+        self.forms = [_GAP if k < 0 else (words[t], f, names[x], y) for k, t, f, x, y in zip(key[where].tolist(), where.tolist(), flags[where].tolist(), shape_of[where].tolist(), first[where].tolist())]
+        self.begins, self.ends = begins, ends
+        lo, hi = np.searchsorted(begins, starts[:-1]), np.searchsorted(begins, starts[:-1] + lengths)
+        self.places = list(zip(lo.tolist(), hi.tolist(), starts.tolist()))
+        # Lines, the longest first: nothing reaches across a line end.
+        self.lines = _stretches(~(gap[begins] | (kind == 4)))
 
 
 def features(form: tuple) -> tuple[list[str], list[str]]:
@@ -163,32 +231,6 @@ def slots(hashes: np.ndarray, k: int, size: int) -> np.ndarray:
     return ((((hashes + np.uint64(k)) * _SPREAD[k]) & np.uint64(0xFFFFFFFF)) >> np.uint64(33 - size.bit_length())).astype(np.int64)
 
 
-def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges [begin, begin + length), one after the other."""
-    total = np.cumsum(lengths)
-    return np.arange(total[-1] if len(total) else 0) + np.repeat(begins - (total - lengths), lengths)
-
-
-def _lines(forms: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """(begin, length) of each stretch of tokens between line ends and gaps, the longest first."""
-    stop = np.fromiter((f[0] in ("\n", "") for f in forms), bool, len(forms))
-    inside = np.concatenate([[False], ~stop, [False]]).astype(np.int8)
-    step = np.diff(inside)
-    begins, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    order = np.argsort(begins - ends, kind="stable")
-    return begins[order], (ends - begins)[order]
-
-
-def joined(parsed: list[list[tuple]]) -> list[tuple]:
-    """The forms of several texts with gaps between them, so wide that no text reaches into another."""
-    gap = [_GAP] * max(map(abs, OFFSETS))
-    out = list(gap)
-    for forms in parsed:
-        out += forms
-        out += gap
-    return out
-
-
 class Field:
     """The weights: of hashed features by offset and label, and of label pairs."""
 
@@ -219,11 +261,11 @@ class Field:
                 out[some, k] = np.add.reduceat(self.w[slots(flat, k, len(self.w))], heads)
         return out
 
-    def emissions(self, forms: list[tuple]) -> np.ndarray:
-        """(len(forms), L) for joined texts."""
+    def emissions(self, parsed: Parsed) -> np.ndarray:
+        """(tokens, L) of parsed texts."""
         if len(self.ids) > MEMO:
             self.ids, self.scores = {}, np.zeros((0, len(OFFSETS), L), np.float32)
-        new = [f for f in dict.fromkeys(forms) if f not in self.ids]
+        new = [f for f in parsed.forms if f not in self.ids]
         if new:
             have = len(self.ids)
             if have + len(new) > len(self.scores):
@@ -232,12 +274,12 @@ class Field:
                 self.scores = grown
             self.scores[have : have + len(new)] = self.scored(new)
             self.ids.update(zip(new, count(have)))
-        ids = np.fromiter(map(self.ids.__getitem__, forms), np.int64, len(forms))
-        out = np.zeros((len(forms), L), np.float32)
+        ids = np.fromiter(map(self.ids.__getitem__, parsed.forms), np.int64, len(parsed.forms))[parsed.ids]
+        out = np.zeros((len(ids), L), np.float32)
         for k, o in enumerate(OFFSETS):
             # The token at i + o speaks for the token at i.
             if o >= 0:
-                out[: len(forms) - o] += self.scores[ids[o:], k]
+                out[: len(ids) - o] += self.scores[ids[o:], k]
             else:
                 out[-o:] += self.scores[ids[:o], k]
         return out
@@ -269,15 +311,6 @@ class Field:
         return path
 
 
-def _gold(begins: list[int], ends: list[int], spans: list[tuple[int, int, str]]) -> np.ndarray:
-    out = np.zeros(len(begins), np.int64)
-    for a, b, kind in spans:
-        inside = [i for i, (x, y) in enumerate(zip(begins, ends)) if x >= a and y <= b]
-        for n, i in enumerate(inside):
-            out[i] = LABELS.index(("I-" if n else "B-") + kind)
-    return out
-
-
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis)
     return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis))
@@ -287,11 +320,17 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 def trained(rows: int = TABLE_ROWS, epochs: int = EPOCHS, seed: int = 7) -> Field:
     """The field fitted to the labelled table by AdaGrad; deterministic."""
     field, rng = Field(), np.random.default_rng(seed)
-    parsed = [(*tokens(text), spans) for text, spans in table(rows, seed)]
-    texts = [[hidden(f) if h else f for f, h in zip(forms, rng.random(len(forms)) < HIDDEN)] for forms, *_ in parsed]
-    golds = [_gold(begins, ends, spans) for _, begins, ends, spans in parsed]
-    kinds = {f: i for i, f in enumerate(dict.fromkeys(f for forms in [*texts, [_GAP]] for f in forms))}
-    sides = hashed(list(kinds))
+    examples = table(rows, seed)
+    parsed = Parsed([text for text, _ in examples])
+    gold_of = np.zeros(len(parsed.ids), np.int64)
+    for (_, spans), (lo, hi, begin) in zip(examples, parsed.places):
+        for a, b, kind in spans:
+            i, j = lo + np.searchsorted(parsed.begins[lo:hi], a + begin), lo + np.searchsorted(parsed.ends[lo:hi], b + begin, "right")
+            gold_of[i:j] = LABELS.index("I-" + kind)
+            gold_of[i] = LABELS.index("B-" + kind)
+    forms = parsed.forms + [hidden(f) if f[0] else f for f in parsed.forms]
+    ids_of = parsed.ids + len(parsed.forms) * (rng.random(len(parsed.ids)) < HIDDEN)
+    sides = hashed(forms)
     heads_of = [np.cumsum(many) - many for many, _ in sides]
     gw, gt, gs = np.full(field.w.shape, 1e-2, np.float32), np.full((L, L), 1e-2, np.float32), np.full(L, 1e-2, np.float32)
     size = 48
@@ -299,29 +338,29 @@ def trained(rows: int = TABLE_ROWS, epochs: int = EPOCHS, seed: int = 7) -> Fiel
     mean_w, mean_t, mean_s, steps = np.zeros_like(field.w), np.zeros_like(field.t), np.zeros_like(field.start), 0
     for epoch in range(epochs):
         rate = 0.4 / (1 + epoch / 2)
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(examples))
         for begin in range(0, len(order), size):
             chosen = order[begin : begin + size].tolist()
-            forms = joined([texts[i] for i in chosen])
-            gap = np.zeros(max(map(abs, OFFSETS)), np.int64)
-            gold = np.concatenate([gap, *(x for i in chosen for x in (golds[i], gap))])
-            ids = np.fromiter(map(kinds.__getitem__, forms), np.int64, len(forms))
-            n = len(forms)
+            # Each text with the gap behind it, after one gap.
+            chosen = np.concatenate([np.arange(GAP), *(np.arange(parsed.places[i][0], parsed.places[i][1] + GAP) for i in chosen)])
+            ids, gold = ids_of[chosen], gold_of[chosen]
+            stop = np.fromiter((forms[i][0] in ("", "\n") for i in ids), bool, len(ids))
+            opens, lengths = _stretches(~stop)
+            n = len(ids)
             where, slot = [], []
             for k, o in enumerate(OFFSETS):
                 side = 0 if abs(o) < 2 else 1
                 many, flat = sides[side]
                 at = np.arange(max(0, -o), min(n, n - o))
-                lengths = many[ids[at + o]]
-                where.append(np.repeat(at, lengths))
-                slot.append(slots(flat[_ranges(heads_of[side][ids[at + o]], lengths)], k, len(field.w)))
+                widths = many[ids[at + o]]
+                where.append(np.repeat(at, widths))
+                slot.append(slots(flat[_ranges(heads_of[side][ids[at + o]], widths)], k, len(field.w)))
             where, slot = np.concatenate(where), np.concatenate(slot)
             by_place = np.argsort(where, kind="stable")
             where, slot = where[by_place], slot[by_place]
             heads = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
             emit = np.zeros((n, L))
             emit[where[heads]] = np.add.reduceat(field.w[slot], heads)
-            opens, lengths = _lines(forms)
             longest = int(lengths[0])
             live = np.searchsorted(-lengths, -np.arange(longest))
             trans = (field.t + field.allowed).astype(float)
@@ -392,7 +431,7 @@ def plausible(kind: str, text: str) -> bool:
     return sum(w not in _PARTICLE for w in words) >= 2 and (words[0][0].isupper() or words[0] in _PARTICLE) and words[-1][0].isupper() and len(words[-1]) > 1 and not sum(c.isdigit() for c in text.replace("%20", " "))
 
 
-def spans_of(text: str, begins: list[int], ends: list[int], path: np.ndarray) -> list[tuple[int, int, str]]:
+def spans_of(text: str, begins: np.ndarray, ends: np.ndarray, path: np.ndarray) -> list[tuple[int, int, str]]:
     """(begin, end, kind) of each labelled stretch that is plausible."""
     out, i, n = [], 0, len(path)
     labelled = np.flatnonzero(path)
@@ -406,7 +445,7 @@ def spans_of(text: str, begins: list[int], ends: list[int], path: np.ndarray) ->
         kind, j = LABELS[path[i]][2:], i
         while j + 1 < n and path[j + 1] and LABELS[path[j + 1]] == "I-" + kind:
             j += 1
-        a, b = begins[i], ends[j]
+        a, b = int(begins[i]), int(ends[j])
         # The stop of a sentence isn't part of what ends it, but for an abbreviation.
         if text[b - 1] == "." and not _ABBREVIATED.search(text, a, b):
             b -= 1
@@ -422,16 +461,13 @@ def spans_of(text: str, begins: list[int], ends: list[int], path: np.ndarray) ->
 def find_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, str]]]:
     """The personal information in each text, by Viterbi in batches."""
     out = []
-    gap = max(map(abs, OFFSETS))
     for begin in range(0, len(texts), BATCH):
         chunk = texts[begin : begin + BATCH]
-        parsed = [tokens(x) for x in chunk]
-        forms = joined([f for f, _, _ in parsed])
-        path = field.decode(field.emissions(forms), *_lines(forms))
-        at = gap
-        for text, (own, begins, ends) in zip(chunk, parsed):
-            out.append(spans_of(text, begins, ends, path[at : at + len(own)]))
-            at += len(own) + gap
+        parsed = Parsed(chunk)
+        path = field.decode(field.emissions(parsed), *parsed.lines)
+        for text, (lo, hi, at) in zip(chunk, parsed.places):
+            own = path[lo:hi]
+            out.append(spans_of(text, parsed.begins[lo:hi] - at, parsed.ends[lo:hi] - at, own) if own.any() else [])
     return out
 
 
