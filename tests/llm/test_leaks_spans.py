@@ -1,10 +1,11 @@
 import random
+import time
 
 import numpy as np
 import pytest
 
 from strandline.llm import spans as sp
-from strandline.llm.leaks import find_leaks, myers, words_of
+from strandline.llm.leaks import Matcher, find_leaks, myers, words_of
 
 
 def test_myers_against_dynamic_programming():
@@ -58,6 +59,18 @@ def test_leaks_against_brute_force(spark, errors):
     e = spark.createDataFrame(items, "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in find_leaks(d, e, doc_id="doc_id", doc_text="text", item_id="item_id", item_text="text", max_errors=errors, items_per_block=4).collect()}
     assert got == want
+    joined = find_leaks(d, e, doc_id="doc_id", doc_text="text", item_id="item_id", item_text="text", max_errors=errors, most_in_memory=2)
+    memory = find_leaks(d, e, doc_id="doc_id", doc_text="text", item_id="item_id", item_text="text", max_errors=errors)
+    assert sorted(joined.collect()) == sorted(memory.collect())
+
+
+def test_long_documents_take_linear_time():
+    """A hit costs no walk over the document before it."""
+    item = [f"t{i}" for i in range(20)]
+    matcher = Matcher([(1, item)], 15, 0)
+    began = time.time()
+    found = matcher.leaks(("word " * 10 + " ".join(item) + " ") * 8_000)
+    assert [x[:2] for x in found] == [(1, 0)] and time.time() - began < 30
 
 
 def test_leaks_edges(spark):
@@ -67,6 +80,7 @@ def test_leaks_edges(spark):
     e = spark.createDataFrame([(7, long), (8, long), (9, "short one"), (None, long), (10, None)], "item long, text string")
     kw = dict(doc_id="doc", doc_text="text", item_id="item", item_text="text")
     assert sorted((r.doc, r.item) for r in find_leaks(d, e, **kw).collect()) == [(1, 7), (1, 7), (1, 8), (1, 8)]
+    assert sorted((r.doc, r.item) for r in find_leaks(d, e, most_in_memory=1, **kw).collect()) == [(1, 7), (1, 7), (1, 8), (1, 8)]
     assert find_leaks(d.limit(0), e, **kw).count() == 0 and find_leaks(d, e.limit(0), **kw).count() == 0
 
 
