@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.bpe import encode_column
 from strandline.llm.encoding import repair_encoding
+from strandline.llm.hosts import unique_runs
 from strandline.llm.leaks import find_leaks
 from strandline.llm.markup import clean_markup
 from strandline.llm.names import entity_pairs, link_names
@@ -78,6 +79,12 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_clean(spark, sf).select("rev", F.explode("kinds").alias("kind"))
 
 
+def p7_unique(spark: SparkSession, sf: str) -> DataFrame:
+    """(rev, kept, removed, removed_chars): each revision without the strings of 30 tokens or more that another page of its wiki has, too."""
+    edits = once(table(spark, sf, "edits").where(F.col("text").isNotNull()), "rev", {"page_key": F.col("page_key"), "text": F.col("text")})
+    return unique_runs(edits, key="rev", text="text", page="page_key", host=F.regexp_extract("page_key", r"^([^~]*)", 1))
+
+
 def _spans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     reps, members = text_classes(table(spark, sf, "edits"), key="rev", text="text", min_chars=MIN_CHARS)
     return reps, members, shared_spans(reps)
@@ -118,6 +125,7 @@ QUERIES = {
     "p5_redacted": p5_redacted,
     "p7_found": p7_found,
     "p7_clean": p7_clean,
+    "p7_unique": p7_unique,
     "p6_found": p6_found,
     "p6_spans": p6_spans,
     "p6_shared": p6_shared,

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -74,6 +75,30 @@ def test_no_markup(text):
     assert markup.clean(text) == (text, [], [])
 
 
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [
+        ("{{Infobox|a={{b|c}}|d}} text", " text"), ("{{{1|x}}} y {{a|{{{2}}}}} z", " y  z"), ("[[File:x.png|thumb|A [[link]] caption]]", "A link caption"), ("a [[b] c [[d|e]]", "a [[b] c e"),
+        (r"\textbf{a \emph{b} c}", "a b c"), (r"so \frac{a}{b} is", "so a/b is"), (r"\href{https://x.example}{shown} and \textcolor{red}{word}", "shown and word"), (r"\section{A \emph{b}} rest", "A b rest"),
+        ("**bold *nested* text**", "bold nested text"), ("*a **b** c* d", "a b c d"), ("::reply\nx", "reply\nx"), ("''a '''b''' c'' d", "a b c d"), ("{a {b} c} {{x}}", "{a {b} c} "),
+    ],
+)
+def test_nested_markup(text, clean):
+    assert markup.clean(text)[0] == clean
+
+
+def test_filter_accepts_what_rules_match():
+    """No text on which a rule fires is kept from it."""
+    import re
+    from unittest import mock
+
+    r, pieces = random.Random(3), ["<b>", "</b>", "[[a]]", "{{t}}", "''", "**", "_x_", "~~~~", "`c`", "# h", "== h ==", "::", ";;", "\\emph{a}", "$x^2$", "| a | b |", "|---|---|", "---", "> q", "&amp;", "\n", " ", "word", "[a](b)", ":", "*"]
+    texts = ["".join(r.choices(pieces, k=r.randint(1, 5))) for _ in range(3_000)]
+    with mock.patch.object(markup, "MAY_BE_MARKUP", ""):
+        found = [markup.clean(x)[2] for x in texts]
+    assert all(re.search(markup.MAY_BE_MARKUP, x) for x, kinds in zip(texts, found) if kinds)
+
+
 def test_structure_spans():
     got, spans, _ = markup.clean("# Head\n- item `code x`\ntext $a_{1}$")
     assert [(k, got[a:b]) for k, a, b in spans] == [("heading", "Head"), ("list_item", "item code x"), ("code", "code x"), ("formula", "a_{1}")]
@@ -83,6 +108,15 @@ def test_markup_edges(spark):
     df = spark.createDataFrame([("a", "<b>x</b>", "k"), ("b", None, "k"), ("c", "", "k"), ("a", "<b>x</b>", "k"), (None, "''i''", "k")], "rev string, text string, kinds string")
     assert sorted(((r.rev, r.clean) for r in markup.clean_markup(df, key="rev", text="text").collect()), key=str) == [("a", "x"), ("a", "x"), (None, "i")]
     assert markup.clean_markup(df.limit(0), key="rev", text="text").count() == 0
+    long = ("[[", "{{", "{{{", "<pre>", "<code>", "<script>", "<math>", "<nowiki>", "<h1>", "\\begin{verbatim}", "\\begin{equation}", "\\[", "\\(", "\\textbf{", "''a", "'''a''b ", "{", "<!--")
+    for unit in long:
+        began = time.time()
+        markup.clean(unit * (100_000 // len(unit)))
+        assert time.time() - began < 5, unit
+    for text in ("{" * 50_000 + "}" * 50_000, "{{" * 30_000 + "}}" * 30_000, "\\textbf{" * 10_000 + "}" * 10_000, "[[" * 20_000 + "]]" * 20_000):
+        began = time.time()
+        markup.clean(text)
+        assert time.time() - began < 5, text[:8]
     for unit in ("[[a", "**a", "<a ", "''a", "{{a", "= a ", "# " + " " * 50, "\\a{", "|a", "`a", "$a", "a_", "~~a", "<!--", "<li> "):
         markup.clean(unit * 4000)
 
