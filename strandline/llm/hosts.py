@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.spans import gram_hashes
+from strandline.operators.lineage import durable
 
 #: Tokens that a repeated string has at least.
 LEAST = 30
@@ -92,7 +93,8 @@ def unique_runs(df: DataFrame, *, key: str, text: str, page: str, host: Column |
             yield placed(part, taken, places, hashes)
 
     def repeated(found: DataFrame) -> DataFrame:
-        """(row, places) of what stands on several pages of a host."""
+        """(row, places) of what stands on several pages of a host. It is read twice, so it is written once: narrow rows, no texts."""
+        found = durable(found)
         several = found.groupBy("h", "hash").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a <> b").select("h", "hash")
         return found.join(several, ["h", "hash"], "left_semi").groupBy("row").agg(F.collect_set("place").alias("places"))  # bounded by the text's length
 
