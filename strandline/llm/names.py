@@ -16,9 +16,10 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import permutations
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -48,14 +49,19 @@ FIELDS = "archives climate culture data education energy finance fisheries fores
 EMPTY = {"the", "of", "for", "f", "and", "de", "la", "le", "du", "des", "von", "van", "der", "a"}
 TITLES = {"dr", "mr", "mrs", "ms", "prof", "herr", "frau", "miss", "sir", "agent", "bot", "mme", "jr", "sr"}
 _DATE = re.compile(r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\d{1,4}$|[\s_\-](?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]{0,6}\.?[\s_\-]?\d{1,4}$")
-#: Letters of a token beyond which only an equal one is the same.
+#: Letters of a token beyond which it is indexed by its halves instead of by every deletion.
 LONGEST = 40
-_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[A-Z]")
+#: Anchors under so many letters are the same only if they are equal: Li and Lu are two families.
+LEAST_ANCHOR = 5
+#: Words: parts of camel case in Latin letters, and runs of letters of other scripts.
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[A-Z]|[^\W\d_A-Za-z]+")
+# Letters that don't come apart in normal form.
+_WHOLE = str.maketrans({"ß": "ss", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ð": "d", "Ð": "D", "þ": "th", "Þ": "TH", "ı": "i"})
 
 
 def folded(text: str) -> str:
     """Without accents, in normal form."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).replace("ß", "ss")
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).translate(_WHOLE)
 
 
 @lru_cache(maxsize=200_000)
@@ -63,25 +69,36 @@ def edits(a: str, b: str) -> int:
     """Optimal string alignment distance: insert, delete, replace, swap neighbours; 3 if it is more than 2."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > 2 or max(len(a), len(b)) > LONGEST:
+    n, m = len(a), len(b)
+    if abs(n - m) > 2:
         return 3
-    two, one, now = [], list(range(len(b) + 1)), []
+    # Only cells within two of the diagonal can hold 2 or less.
+    two, one = {}, {j: j for j in range(min(m, 2) + 1)}
     for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            d = min(one[j] + 1, now[-1] + 1, one[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, two[j - 2] + 1)
-            now.append(d)
+        now = {0: i} if i <= 2 else {}
+        for j in range(max(1, i - 2), min(m, i + 2) + 1):
+            d = min(one.get(j, 3) + 1, now.get(j - 1, 3) + 1, one.get(j - 1, 3) + (x != b[j - 1]))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1]:
+                d = min(d, two.get(j - 2, 3) + 1)
+            now[j] = d
         two, one = one, now
-    return min(now[-1], 3)
+    return min(one.get(m, 3), 3)
 
 
 def deletions(token: str) -> list[str]:
-    """The token and every form of it with one letter less: two tokens one edit apart share one of them. Those of over 40 letters must be equal."""
-    if len(token) > LONGEST:
-        return [token]
-    return sorted({token, *(token[:i] + token[i + 1 :] for i in range(len(token)))})
+    """The token and every form of it with one letter less: two tokens one edit apart share one of them.
+
+    A long token gives its halves instead: one edit leaves one half of the longer token whole, at the beginning or the end
+    of both, so they share one as well, and work is linear in the token.
+    """
+    n = len(token)
+    if n <= LONGEST:
+        return sorted({token, *(token[:i] + token[i + 1 :] for i in range(n))})
+    out = set() if n > LONGEST + 1 else set(deletions(token[:-1])) | {token[:i] + token[i + 1 :] for i in range(n)}
+    for whole in (n - 1, n, n + 1):
+        half = (whole - 2) // 2
+        out |= {f"\x1a{half}:{xxhash.xxh3_64_hexdigest(token[:half])}", f"\x1b{half}:{xxhash.xxh3_64_hexdigest(token[n - half :])}"}
+    return sorted(out)
 
 
 @lru_cache(maxsize=1)
@@ -203,16 +220,52 @@ def alignment(a: tuple[str, ...], b: tuple[str, ...], unmatched: float) -> float
     """The least cost of assigning the tokens of the shorter list to different ones of the longer; unmatched: of each that is left."""
     if len(a) > len(b):
         a, b = b, a
-    if len(b) > 7:
-        return 0.0 if sorted(a) == sorted(b) else float("inf")
-    best = min((sum(token_cost(x, y) for x, y in zip(a, p)) for p in permutations(b, len(a))), default=0.0)
-    return best + unmatched * (len(b) - len(a))
+    if not a:
+        return unmatched * len(b)
+    cost = np.array([[token_cost(x, y) for y in b] for x in a])
+    best = assigned(np.where(np.isinf(cost), _NEVER, cost))
+    return (best if best < _NEVER else float("inf")) + unmatched * (len(b) - len(a))
+
+
+#: More than any assignment can cost.
+_NEVER = 1e9
+
+
+def assigned(cost: np.ndarray) -> float:
+    """The least sum of costs of giving each row a column of its own, by shortest augmenting paths; no more rows than columns."""
+    rows, columns = cost.shape
+    if rows == 1:
+        return float(cost.min())
+    # Column 0 stands for none yet.
+    row_potential, potential, owner = np.zeros(rows + 1), np.zeros(columns + 1), np.zeros(columns + 1, np.int64)
+    for i in range(1, rows + 1):
+        owner[0], at = i, 0
+        least, before, done = np.full(columns + 1, np.inf), np.zeros(columns + 1, np.int64), np.zeros(columns + 1, bool)
+        while True:
+            done[at] = True
+            here = owner[at]
+            reduced = cost[here - 1] - row_potential[here] - potential[1:]
+            nearer = ~done[1:] & (reduced < least[1:])
+            least[1:][nearer], before[1:][nearer] = reduced[nearer], at
+            following = int(np.where(done, np.inf, least).argmin())
+            step = least[following]
+            row_potential[owner[done]] += step
+            potential[done] -= step
+            least[~done] -= step
+            at = following
+            if not owner[at]:
+                break
+        while at:
+            owner[at] = owner[before[at]]
+            at = int(before[at])
+    held = np.flatnonzero(owner[1:])
+    return float(cost[owner[1:][held] - 1, held].sum())
 
 
 def same_entity(kind: str, anchor_a: str, rest_a: tuple[str, ...], anchor_b: str, rest_b: tuple[str, ...]) -> float:
     """Cost of taking two readings for one entity; infinite if they can't be."""
     apart = edits(anchor_a, anchor_b)
-    if apart > 1 or (apart == 1 and min(len(anchor_a), len(anchor_b)) < 5):
+    if apart > 1 or (apart == 1 and min(len(anchor_a), len(anchor_b)) < LEAST_ANCHOR):
         return float("inf")
     if kind == "p":
         return apart + (alignment(rest_a, rest_b, 0.0) if rest_a and rest_b else 0.3)
@@ -260,7 +313,7 @@ def link_names(df: DataFrame, *, key: str, name: str, family: str, families: str
         for part in parts:
             taken, keys = [], []
             for row, value in enumerate(part.column(1).to_pylist()):
-                forms = deletions(value) if len(value) >= 5 else [value]
+                forms = deletions(value) if len(value) >= LEAST_ANCHOR else [value]
                 taken += [row] * len(forms)
                 keys += forms
             t = pa.array(taken, pa.int64())

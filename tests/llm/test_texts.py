@@ -195,3 +195,35 @@ def test_encoding_stretches_equal_whole_texts(monkeypatch):
     assert got == [encoding.restore(x) for x in texts]
     monkeypatch.setattr(encoding.Places, "torn", lambda self: np.ones(len(self.at), bool))
     assert got == encoding.restore_all(texts)
+
+
+def test_assignment_against_all_permutations():
+    import itertools
+
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(r.integers(1, 6))
+        m = int(r.integers(n, 7))
+        cost = np.where(r.random((n, m)) < 0.2, 1e9, r.integers(0, 9, (n, m)).astype(float))
+        want = min(sum(cost[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
+        assert abs(names.assigned(cost) - want) < 1e-6 * max(1, want)
+
+
+def test_long_names():
+    words = tuple(f"word{chr(97 + i)}{'xyz' * i}" for i in range(12))
+    assert names.alignment(words, tuple(reversed(words)), 10.0) == 0 and names.alignment(words, (*words[:11], words[11] + "q"), 10.0) < 2
+    assert names.alignment(words, words[:11] + ("other",), 10.0) == float("inf")
+    for n in (39, 40, 41, 42, 43, 80, 5_000):
+        token = ("abcdefghij" * 600)[:n]
+        for other in (token + "k", token[1:], token[: n // 2] + "z" + token[n // 2 :], token[: n // 2] + token[n // 2 + 1 :], token[: n - 2] + token[n - 1] + token[n - 2], "z" + token[1:]):
+            assert names.edits(token, other) == 1 and set(names.deletions(token)) & set(names.deletions(other)), (n, other[:5])
+        assert names.edits(token, token[5:]) == 3
+
+
+def test_other_scripts(spark):
+    rows = [(1, "Иван Петров", "f"), (2, "иван петров", "f"), (3, "Søren Kjeldsen", "f"), (4, "Soren Kjeldsen", "f"), (5, "王小明", "f"), (6, "王小明", "f"), (7, "Łukasz Wałęsowski", "f"), (8, "Lukasz Walesowski", "f"), (9, "王小", "f")]
+    df = spark.createDataFrame(rows, "id int, name string, fam string")
+    groups = {}
+    for r in names.link_names(df, key="id", name="name", family="fam").collect():
+        groups.setdefault(r.entity, set()).add(int(r.id))
+    assert sorted(sorted(g) for g in groups.values()) == [[1, 2], [3, 4], [5, 6], [7, 8], [9]]
