@@ -119,12 +119,15 @@ def common_runs(a: np.ndarray, b: np.ndarray, shift: int, least: int) -> list[tu
 
 
 def text_classes(df: DataFrame, *, key: str, text: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
-    """(rep, text) of each different text of at least min_chars, and (id, rep) of every record that has it; rep is the least id."""
-    rows = once(df.where(F.char_length(text) >= min_chars), key, {"text": F.col(text)}).select(F.col(key).alias("id"), "text")
-    keyed = rows.withColumn("digest", F.sha2("text", 256))
-    reps = keyed.groupBy("digest").agg(F.min(F.struct("id", "text")).alias("r")).select("digest", F.col("r.id").alias("rep"), F.col("r.text").alias("text"))
-    members = keyed.select("id", "digest").join(reps.select("digest", "rep"), "digest").select("id", "rep")
-    return reps.select("rep", "text"), members
+    """(rep, text) of each different text of at least min_chars, and (id, rep) of every record that has it; rep is the least id.
+
+    Texts move once, to where their record is; classes are made of digests alone.
+    """
+    rows = once(df.where(F.col(text).isNotNull()), key, {"text": F.col(text)}).where(F.char_length("text") >= min_chars).select(F.col(key).alias("id"), "text")
+    keyed = rows.select("id", F.sha2("text", 256).alias("digest"))
+    members = keyed.join(keyed.groupBy("digest").agg(F.min("id").alias("rep")), "digest").select("id", "rep")
+    reps = rows.join(members.where("id = rep").select("id"), "id").select(F.col("id").alias("rep"), "text")
+    return reps, members
 
 
 def shared_spans(reps: DataFrame, *, min_chars: int = MIN_CHARS, hashes: int = HASHES) -> DataFrame:
