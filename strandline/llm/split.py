@@ -12,6 +12,7 @@ Texts that can't be oversized (no more bytes than the limit) never leave the JVM
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from strandline.llm.bpe import VOCABULARIES, VOCABULARY, encoder
 
 LIMIT = 1_024
 OVERLAP = 64
+#: No less, so that a piece can always be cut within it: a character has four tokens at most.
+LEAST_LIMIT = 16
 #: A piece is cut at no less than this share of the limit, and the overlap kept within these shares of its size.
 LEAST_PIECE = 0.5
 OVERLAP_RANGE = (0.75, 1.25)
@@ -60,8 +63,8 @@ class SparseTable:
 
 class Splitter:
     def __init__(self, folder: str, name: str, limit: int, overlap: int):
-        if not 0 <= overlap < limit // 2:
-            raise ValueError("the overlap must be less than half of the limit")
+        if not 0 <= overlap < limit // 2 or limit < LEAST_LIMIT:
+            raise ValueError(f"the limit is {LEAST_LIMIT} tokens at least, and the overlap less than half of it")
         self.encoder, self.limit, self.overlap = encoder(folder, name), limit, overlap
         self.packed = self.encoder.mapper(self.features)
 
@@ -143,11 +146,13 @@ class Splitter:
                 # The last item of a piece is one of lo..hi; the first piece length is at least one item.
                 hi = int(np.searchsorted(t, t[i] + limit, "right")) - 2
                 lo = max(i, int(np.searchsorted(t, t[i] + int(limit * LEAST_PIECE), "left")) - 1)
-                j = table.argmax(min(lo, hi), hi) if hi > i else i
+                j = table.argmax(max(i, min(lo, hi)), hi) if hi > i else i
                 size = self.size(text, int(c[i]), int(c[j + 1]), int(t[j + 1] - t[i]))
-                if size <= self.limit or limit < 8 or hi <= i:
+                if size <= self.limit:
                     break
-                limit -= size - self.limit
+                if j == i:
+                    raise ValueError("a piece of one item is over the limit")
+                limit = max(1, limit - (size - self.limit))
             out.append((int(c[i]), int(c[j + 1]), size))
             back = i + 1
             if self.overlap:
@@ -161,6 +166,12 @@ class Splitter:
             i = max(back, i + 1)
 
 
+@lru_cache(maxsize=2)
+def splitter(folder: str, name: str, limit: int, overlap: int) -> Splitter:
+    """The worker's splitter, built once per Python process."""
+    return Splitter(folder, name, limit, overlap)
+
+
 def split_oversized(
     df: DataFrame, *, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = True, folder: str = VOCABULARIES, name: str = VOCABULARY
 ) -> DataFrame:
@@ -176,7 +187,7 @@ def split_oversized(
     columns = ["key", "piece_no", "begin", "end", "n_tokens"] + ["piece"] * with_text
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Splitter(folder, name, limit, overlap)
+        own = splitter(folder, name, limit, overlap)
         for part in parts:
             taken, rows, texts = [], [], []
             for row, value in enumerate(part.column(1).to_pylist()):

@@ -78,3 +78,24 @@ def test_split_edges(spark, reference):
     assert split_oversized(df.limit(0), key="id", text="text", with_text=False).columns == ["id", "piece_no", "begin", "end", "n_tokens"]
     with pytest.raises(ValueError):
         Splitter(VOCABULARIES, VOCABULARY, 64, 32)
+
+
+def test_no_piece_is_over_the_limit():
+    """Pretokens that can't be cut at a boundary, white space of every kind, characters of several tokens."""
+    import random
+
+    from strandline.llm.bpe import VOCABULARIES, VOCABULARY
+    from strandline.llm.split import Splitter
+
+    r = random.Random(1)
+    parts = ["word ", "  \n" * 7, " " * 40, "😀" * 9, "𓀀𓁐" * 8, "x" * 200, "\t\n \r\n", "Ünï. ", "　" * 30, "!?" * 30, "123456", "\x00" * 20]
+    for limit, overlap in ((16, 4), (24, 0), (64, 8), (128, 30)):
+        own = Splitter(VOCABULARIES, VOCABULARY, limit, overlap)
+        for _ in range(60):
+            text = "".join(r.choices(parts, k=r.randint(1, 60)))
+            pieces = own.pieces(text)
+            assert pieces[0][0] == 0 and pieces[-1][1] == len(text) and all(b[0] <= a[1] and a[0] < b[0] for a, b in zip(pieces, pieces[1:]))
+            for a, b, n in pieces:
+                assert sum(1 for _ in own.encoder.tokens(text[a:b])) == n <= limit
+    with pytest.raises(ValueError):
+        Splitter(VOCABULARIES, VOCABULARY, 8, 2)
