@@ -255,7 +255,7 @@ def test_claims(spark):
     assert c[2]["clock"] == "other" and c[2]["status"] == "predicted" and c[2]["owner"] == "self" and c[3]["owner"] in ("peer", "mixed")
     assert read_claims(None) == [] and read_claims("") == [] and read_claims("105m = 13:19:16")[0]["status"] == "derived"
     df = spark.createDataFrame([("w", "p1", "R1 arrived 23:55:00"), ("w", "p2", "R1 arrived 00:05:00"), ("w", "p3", "R1 arrived 04:00:00"), ("v", "p4", "R1 arrived 12:00"), ("w", "p5", None)], "w string, p string, x string")
-    assert rows(contradictions(df, writer="w", post="p", text="x")) == [("w", "p1", "p2", 1, 0), ("w", "p1", "p3", 0, 1), ("w", "p2", "p3", 0, 1)]
+    assert rows(contradictions(df, writer="w", post="p", text="x")) == [("w", "p1", "p2", 1, 0, None), ("w", "p1", "p3", 0, 1, 14_700), ("w", "p2", "p3", 0, 1, 14_100)]
 
 
 def test_components(spark):
