@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder the cluster names in spark.checkpoint.dir; only where it is unset, as in tests, set one of our own."""
+    """Keep the folder the cluster names in spark.checkpoint.dir. Where it is unset, a session in one process, as in tests, gets one of its own; a cluster has none that all its executors share, so that raises."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = context.getConf().get("spark.checkpoint.dir", None)
+    if not named and context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandline-"))
 
 

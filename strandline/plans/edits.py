@@ -41,7 +41,7 @@ def scope(spark: SparkSession, sf: str) -> DataFrame:
 def family_pivot(spark: SparkSession, sf: str) -> DataFrame:
     """Signed and unsigned revisions of each family, and each status."""
     return edits(spark, sf, "family", "signed_as", "status").groupBy(F.coalesce("family", F.lit("none")).alias("family")).agg(
-        F.count_if(F.col("signed_as").isNotNull()).alias("signed"), F.count_if(F.col("signed_as").isNull()).alias("unsigned"), *[F.count_if(F.col("status") == s).alias(s) for s in ("assigned", "one_off", "out_of_scope", "unsigned")][:3])
+        F.count_if(F.col("signed_as").isNotNull()).alias("signed"), F.count_if(F.col("signed_as").isNull()).alias("unsigned"), *[F.count_if(F.col("status") == s).alias(s) for s in ("assigned", "one_off", "out_of_scope")], F.count_if(F.col("status") == "unsigned").alias("stored_unsigned"))
 
 
 def novel(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,8 +67,8 @@ def last_signoff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rule_signed(spark: SparkSession, sf: str) -> DataFrame:
-    """Revisions by the signature form that fires first, and how often it gives the stored name."""
-    found = lines.rule_signed(edits(spark, sf, "text"), rev="rev", text="text")
+    """Revisions by the signature form that fires first, those turned down too, and how often it gives the stored name."""
+    found = lines.rule_signed(edits(spark, sf, "text", "label"), rev="rev", text="text", label="label", rejected=True)
     stored = edits(spark, sf, "signed_as").select("rev", "signed_as")
     return found.join(stored, "rev").groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("name") == F.col("signed_as")).alias("agree"), F.count_if(F.col("name") != F.col("signed_as")).alias("differ"))
 
@@ -187,10 +187,12 @@ def shared_shingles(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of eight words of a revision that an earlier one of another page holds, if on three pages at most."""
     e = edits(spark, sf, "page_key", "text").where("text IS NOT NULL AND t IS NOT NULL")
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9]+"), 0)
-    each = e.select("rev", "page_key", "t", F.explode(F.array_distinct(tx.shingles(words, 8))).alias("s"))
-    rare = each.groupBy("s").agg(F.countDistinct("page_key").alias("n"), F.min("t").alias("first")).where("n BETWEEN 2 AND 3")
-    origin = each.join(rare, "s")
-    early = origin.where("t = first").groupBy("s").agg(F.collect_set("page_key").alias("pages"))
+    # Shingles travel as hashes of 64 bits: two of them would have to share one to be taken for each other.
+    hashes = F.transform(tx.shingles(words, 8), lambda s: F.xxhash64(s))
+    each = e.select("rev", "page_key", "t", F.explode(F.array_distinct(hashes)).alias("s"))
+    rare = each.groupBy("s", "page_key").agg(F.min("t").alias("t")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first")).where("n BETWEEN 2 AND 3")
+    origin = each.join(rare.select("s", "first"), "s")
+    early = origin.where("t = first").groupBy("s").agg(F.collect_set("page_key").alias("pages"))  # three at most
     return origin.where("t > first + 60").join(early, "s").where(~F.array_contains("pages", F.col("page_key"))).groupBy("rev").agg(F.count(F.lit(1)).alias("n_shingles"))
 
 
@@ -266,10 +268,15 @@ def _when(table_: dict[str, str]) -> str:
     return "list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in table_.items()) + "], lambda x: x IS NOT NULL))"
 
 
+def _clause(p: str) -> str:
+    """What follows a form's name up to the end of the clause."""
+    return f"regexp_extract(regexp_extract(line, '{p}', 2), '^([^.;]{{0,60}})', 1)"
+
+
 ORACLE = {
     "edits_scope": _E + """, p AS (SELECT DISTINCT page_key, page_family FROM wiki_pages)
 SELECT CASE WHEN page_family IN (SELECT family_id FROM families) THEN 'family' WHEN page_family LIKE 'relay%' THEN 'relay' ELSE 'other' END AS scope, count(*) AS n, count(DISTINCT e.page_key) AS n_pages FROM e LEFT JOIN p USING (page_key) GROUP BY 1""",
-    "edits_family_pivot": _E + " SELECT coalesce(family, 'none') AS family, count(*) FILTER (signed_as IS NOT NULL) AS signed, count(*) FILTER (signed_as IS NULL) AS unsigned, count(*) FILTER (status = 'assigned') AS assigned, count(*) FILTER (status = 'one_off') AS one_off, count(*) FILTER (status = 'out_of_scope') AS out_of_scope FROM e GROUP BY 1",
+    "edits_family_pivot": _E + " SELECT coalesce(family, 'none') AS family, count(*) FILTER (signed_as IS NOT NULL) AS signed, count(*) FILTER (signed_as IS NULL) AS unsigned, count(*) FILTER (status = 'assigned') AS assigned, count(*) FILTER (status = 'one_off') AS one_off, count(*) FILTER (status = 'out_of_scope') AS out_of_scope, count(*) FILTER (status = 'unsigned') AS stored_unsigned FROM e GROUP BY 1",
     "edits_novel_lines": _L + ", f AS (SELECT page_key, s, min(seq) AS q FROM l GROUP BY 1, 2) SELECT l.page_key, l.seq, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM l JOIN f ON l.page_key = f.page_key AND l.s = f.s AND l.seq = f.q GROUP BY 1, 2",
     "documents_novel_lines": r"WITH l AS (SELECT source, doc_id, trim(regexp_replace(regexp_replace(x, '[^\x00-\x7F]', '', 'g'), '\s+', ' ', 'g')) AS s FROM documents, unnest(string_split(text, chr(10))) AS u(x)), f AS (SELECT source, s, min(doc_id) AS q FROM l GROUP BY 1, 2) SELECT l.source, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM l JOIN f ON l.source = f.source AND l.s = f.s AND l.doc_id = f.q GROUP BY 1",
     "edits_first_seen": _L + ", f AS (SELECT page_key, s, min(seq) AS q, arg_min(rev, seq) AS origin FROM l GROUP BY 1, 2) SELECT rev, line_no, origin FROM l JOIN f ON l.page_key = f.page_key AND l.s = f.s AND f.q < l.seq",
@@ -308,12 +315,15 @@ q AS (SELECT regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\
   list_transform(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: regexp_replace(regexp_extract(x, '^([^=]*)', 1), '^amp;', '')) AS ks FROM u),
 k AS (SELECT host, last, ks, list_filter(ks, lambda x: x NOT IN (@busters)) AS rest, list_sort(list_distinct(list_filter(ks, lambda x: x IN (@busters)))) AS bust FROM q)
 SELECT last, coalesce(nullif(array_to_string(rest, ' '), ''), '-') AS keys, coalesce(nullif(array_to_string(bust, ','), ''), '-') AS cache, count(*) AS n, count(DISTINCT host) AS n_hosts, max(len(list_distinct(ks))) AS n_keys FROM k GROUP BY 1, 2, 3""".replace("@busters", ", ".join(f"'{x}'" for x in web.CACHE_BUSTERS)),
-    "edits_rule_signed": _L + ", nb AS (SELECT rev, line_no, line, row_number() OVER (PARTITION BY rev ORDER BY line_no) AS nth FROM l WHERE trim(line) <> ''), o AS ("
+    "edits_rule_signed": _L.replace("SELECT rev, page_key, seq,", "SELECT rev, page_key, seq, label,") + ", nb AS (SELECT rev, label, line_no, line, row_number() OVER (PARTITION BY rev ORDER BY line_no) AS nth FROM l WHERE trim(line, ' ') <> ''), o AS ("
     + _UNION.join(
-        f"SELECT rev, {i} AS ord, line_no, '{rule}' AS rule, regexp_extract(line, '{p}', 1) AS name FROM nb WHERE regexp_matches(line, '{p}')"
-        + (" AND nth <= 2" if rule == "R4" else "")
-        + (f" AND NOT regexp_matches(regexp_extract(regexp_extract(line, '{p}(.*)$', 2), '^([^.;]{{0,60}})', 1), '{lines.ADDRESSING}')" if rule in ("R2", "R4") else "")
+        f"SELECT rev, {i} AS ord, line_no, regexp_extract({_line}, '{p}', 1) AS name, " + {
+            "R2": f"CASE WHEN regexp_matches({_clause(p)}, '{lines.ADDRESSES}') THEN 'x_vocative' ELSE 'R2' END",
+            "R4": f"CASE WHEN regexp_matches(regexp_extract(line, '{p}', 1), '{lines.BARE_DATE}') THEN CASE WHEN coalesce(ends_with(label, regexp_extract(line, '{p}', 1)), false) THEN 'R4' ELSE 'x_bare_date' END WHEN regexp_matches(line, '{lines.MARKED}') THEN 'R4' WHEN regexp_matches({_clause(p)}, '{lines.ADDRESSES}') THEN CASE WHEN coalesce(regexp_extract(line, '{p}', 1) = label, false) THEN 'R4' ELSE 'x_vocative' END WHEN regexp_matches({_clause(p)}, '{lines.REPORTS}') OR coalesce(regexp_extract(line, '{p}', 1) = label, false) THEN 'R4' ELSE 'x_other' END",
+        }.get(rule, f"'{rule}'") + f" AS rule FROM nb WHERE regexp_matches({_line}, '{p}')"
+        + (f" AND NOT regexp_matches(regexp_extract({_line}, '{p}', 1), '{lines.BARE_DATE}')" if rule == "R3" else f" AND nth <= {lines.OPENING}" if rule == "R4" else "")
         for i, (rule, p) in enumerate(lines.SIGNATURE_FORMS)
+        for _line in ["line" if rule in ("R2", "R4") else "rtrim(line)"]
     )
     + "), f AS (SELECT rev, min((ord, line_no, rule, name)) AS m FROM o GROUP BY 1) SELECT m[3] AS rule, count(*) AS n, count(*) FILTER (m[4] = signed_as) AS agree, count(*) FILTER (m[4] <> signed_as) AS differ FROM f JOIN e USING (rev) GROUP BY 1",
 }
