@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.text import is_generic
 from strandline.operators.band import asof_backward, interval_lookup
+from strandline.operators.lineage import durable
 from strandline.operators.sessions import GAP_S, sessionize
 
 
@@ -78,15 +79,16 @@ def session_evidence(requests: DataFrame, saves: DataFrame, *, owners: DataFrame
     several words or a bare date unless given.
     """
     stock = is_generic(F.col("name")) if generic is None else generic
-    sessions = sessionize(requests, key="name", time="t", gap_s=gap_s)
+    # What several branches read is written once: plans stay small.
+    sessions = durable(sessionize(requests, key="name", time="t", gap_s=gap_s))
     own = owners.select("name", "writer").where("name IS NOT NULL AND writer IS NOT NULL").distinct()
     n_users = labels.where("name IS NOT NULL AND writer IS NOT NULL").groupBy("name").agg(F.countDistinct(run_of(F.col("writer"))).alias("n_users"))
     pairs = saves.select("name", "writer").distinct().join(own.withColumn("owns", F.lit(True)), ["name", "writer"], "left").join(own.select("name").distinct().withColumn("owned", F.lit(True)), "name", "left").join(n_users, "name", "left")
     known = lambda c: F.coalesce(F.col(c), F.lit(False))
     pairs = pairs.select("name", "writer", evidence_kind(known("owns"), known("owned"), stock, F.coalesce("n_users", F.lit(0))).alias("kind"))
-    numbered = saves.where("writer IS NOT NULL").select("name", "t", "writer").withColumn("save_id", F.monotonically_increasing_id())
+    numbered = durable(saves.where("writer IS NOT NULL").select("name", "t", "writer").withColumn("save_id", F.monotonically_increasing_id()))
     placed = interval_lookup(numbered, sessions, on="name", time="t", start="start_s", end="end_s", point_id="save_id", values={"session_no": F.col("session_no")}).select("save_id", "name", "session_no")
-    each = placed.join(numbered.select("save_id", "writer"), "save_id").join(pairs, ["name", "writer"])
+    each = durable(placed.join(numbered.select("save_id", "writer"), "save_id").join(pairs, ["name", "writer"]))
     strong = F.col("kind").isin("own", "private")
     counts = each.groupBy("name", "session_no", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("name", "session_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "n"))), lambda s: F.concat(s["kind"], F.lit(":"), s["n"])), ";").alias("kinds"))
     # As many as saved in a session; owners of a weak session's name count as its writers.
@@ -135,7 +137,7 @@ def active_count(points: DataFrame, sessions: DataFrame, *, by: str, point_id: s
     """
     # +1 from the second behind the start, -1 from the second behind end + window.
     steps = sessions.select(by, F.explode(F.array(F.struct((F.col("start_s") + 1).alias("at"), F.lit(1).alias("d")), F.struct((F.col("end_s") + window_s + 1).alias("at"), F.lit(-1).alias("d")))).alias("s")).groupBy(by, "s.at").agg(F.sum("s.d").alias("d"))
-    running = running_total(steps, by=by, at="at", value="d")
+    running = durable(running_total(steps, by=by, at="at", value="d"))
     found = asof_backward(points.select(point_id, by, time), running, key=by, left_id=point_id, left_time=time, right_time="at", values={"n": F.col("total")})
     return found.select(point_id, "n")
 
@@ -164,22 +166,25 @@ def decoy_rates(targets: DataFrame, reads: DataFrame, *, families: DataFrame, to
     """
     from strandline.operators.band import band_join
 
-    r = reads.where("agent IS NOT NULL AND t IS NOT NULL").select("agent", "page", "t", "session_id")
+    # What several branches read is written once: plans stay small.
+    r = durable(reads.where("agent IS NOT NULL AND t IS NOT NULL").select("agent", "page", "t", "session_id"))
     fam = families.select("agent", "family").where("family IS NOT NULL")
-    touched = touches.select("agent", "page").where("agent IS NOT NULL AND page IS NOT NULL").distinct()
+    touched = durable(touches.select("agent", "page").where("agent IS NOT NULL AND page IS NOT NULL").distinct())
+    targets = durable(targets.select("target_id", "agent", "page", "t"))
     # The agent's own reads in the window, without dropped sessions.
     mine = band_join(targets.select("target_id", "agent", F.col("page").alias("wanted"), "t"), r.withColumnRenamed("t", "t_read"), on=["agent"], left_time="t", right_time="t_read", lo=-window_s, hi=-1)
     raw = mine.groupBy("target_id").agg(F.max((F.col("page") == F.col("wanted")).cast("int")).alias("raw_hit"))
     if dropped is not None:
         mine = mine.join(dropped.select("target_id", "session_id").distinct(), ["target_id", "session_id"], "left_anti")
+    mine = durable(mine)
     own = mine.groupBy("target_id").agg(F.max(F.coalesce((F.col("page") == F.col("wanted")).cast("int"), F.lit(0))).alias("hit"))
     kept = targets.join(own, "target_id").join(raw, "target_id").join(fam, "agent", "left").join(touched.withColumn("in_touch", F.lit(1)), ["agent", "page"], "left")
-    kept = kept.select("target_id", "agent", "page", "t", "hit", F.coalesce("raw_hit", F.lit(0)).alias("raw_hit"), "family", F.coalesce("in_touch", F.lit(0)).alias("in_touch"))
+    kept = durable(kept.select("target_id", "agent", "page", "t", "hit", F.coalesce("raw_hit", F.lit(0)).alias("raw_hit"), "family", F.coalesce("in_touch", F.lit(0)).alias("in_touch")))
 
-    active = sessionize(r, key="agent", time="t", gap_s=window_s).select("agent", "start_s", "end_s").withColumn("all", F.lit("all"))
-    on_page = sessionize(r.where("page IS NOT NULL").select(F.struct("agent", "page").alias("k"), "t"), key="k", time="t", gap_s=window_s).select("k.agent", "k.page", "start_s", "end_s").join(touched, ["agent", "page"], "left_anti")
+    active = durable(sessionize(r, key="agent", time="t", gap_s=window_s).select("agent", "start_s", "end_s").withColumn("all", F.lit("all")))
+    on_page = durable(sessionize(r.where("page IS NOT NULL").select(F.struct("agent", "page").alias("k"), "t"), key="k", time="t", gap_s=window_s).select("k.agent", "k.page", "start_s", "end_s").join(touched, ["agent", "page"], "left_anti"))
     # Touchers of a page that were active anywhere.
-    touchers = active.drop("all").join(touched.join(kept.select("page").distinct(), "page", "left_semi"), "agent")
+    touchers = durable(active.drop("all").join(touched.join(kept.select("page").distinct(), "page", "left_semi"), "agent"))
     points = kept.withColumn("all", F.lit("all"))
 
     def rates(points: DataFrame, everybody: DataFrame, by: str, readers: DataFrame, those: DataFrame, name: str) -> DataFrame:

@@ -38,8 +38,16 @@ def _of(calls: DataFrame, decision: str) -> DataFrame:
     return calls.where(F.col("decision") == decision)
 
 
-def apply_calls(assignments: DataFrame, calls: DataFrame, unsigned: DataFrame | None = None) -> DataFrame:
-    """(rev, name, part, signed_as, time, label) after all calls; signed_as keeps the name a moved edit had.
+def _followed(merged: DataFrame) -> DataFrame:
+    """(name, to): merges with those of their targets followed, a to b to c as a to c; ten steps double their reach each, and a circle ends on itself."""
+    for _ in range(10):
+        further = merged.select(F.col("name").alias("to"), F.col("to").alias("next"))
+        merged = merged.join(further, "to", "left").select("name", F.coalesce("next", "to").alias("to"))
+    return merged.where("name <> to")
+
+
+def apply_calls(assignments: DataFrame, calls: DataFrame, unsigned: DataFrame | None = None, split: bool = True) -> DataFrame:
+    """(rev, name, part, signed_as, time, label) after all calls; signed_as keeps the name a moved edit had. split: False leaves splits and partitions to split_parts.
 
     Unsigned edits (rev, time, label) may be attributed; an edit already assigned can't be. A split cuts a writer's edits, in time order,
     before each listed revision; a partition puts the listed revisions into a part of their own and drops nothing.
@@ -53,8 +61,19 @@ def apply_calls(assignments: DataFrame, calls: DataFrame, unsigned: DataFrame |
     a = a.join(moved, "rev", "left").select("rev", F.coalesce("to", "name").alias("name"), "time", "label", F.when(F.col("to").isNotNull(), F.col("name")).otherwise(F.col("signed_as")).alias("signed_as"))
     out = _of(calls, "exclude").select(F.explode("revs").alias("rev")).distinct()
     a = a.join(out, "rev", "left_anti")
-    merged = _of(calls, "merge").groupBy("name").agg(F.min("target").alias("to"))
+    merged = _followed(_of(calls, "merge").groupBy("name").agg(F.min("target").alias("to")))
     a = a.join(merged, "name", "left").select("rev", F.coalesce("to", "name").alias("name"), "time", "label", F.when(F.col("to").isNotNull(), F.coalesce("signed_as", "name")).otherwise(F.col("signed_as")).alias("signed_as"))
+    return split_parts(a, calls) if split else a
+
+
+def split_parts(a: DataFrame, calls: DataFrame) -> DataFrame:
+    """(rev, name, part, signed_as, time, label): parts of each writer's edits, from 1.
+
+    Cuts and partitions concern few writers: only theirs are put in order; all others' edits are part 1 as they are.
+    """
+    touched = calls.where(F.col("decision").isin("split", "partition")).select("name").distinct()
+    whole = a.join(touched, "name", "left_anti").select("rev", "name", F.lit(1).cast("bigint").alias("part"), "signed_as", "time", "label")
+    a = a.join(touched, "name", "left_semi")
     cuts = _of(calls, "split").select("name", F.explode("revs").alias("rev"), F.lit(1).alias("cut")).distinct()
     order = Window.partitionBy("name").orderBy("time", "rev")
     a = a.join(cuts, ["name", "rev"], "left").withColumn("first", F.row_number().over(order) == 1)
@@ -67,7 +86,81 @@ def apply_calls(assignments: DataFrame, calls: DataFrame, unsigned: DataFrame |
     own = F.dense_rank().over(Window.partitionBy("name").orderBy(F.col("call_no").asc_nulls_first()))
     base = F.max(F.when(F.col("call_no").isNull(), 1).otherwise(0)).over(Window.partitionBy("name"))
     a = a.withColumn("part", F.when(F.col("call_no").isNull(), F.col("part")).otherwise(last + own - base))
-    return a.select("rev", "name", "part", "signed_as", "time", "label")
+    return whole.unionByName(a.select("rev", "name", F.col("part").cast("bigint").alias("part"), "signed_as", "time", "label"))
+
+
+def already_by_rule(calls: DataFrame, ruled: DataFrame) -> DataFrame:
+    """(call_no, rev): attributions that a rule form gives by itself. ruled: (rev, name)."""
+    given = _of(calls, "attribute").select("call_no", F.col("target").alias("name"), F.explode("revs").alias("rev"))
+    return given.join(ruled.select("rev", "name"), ["rev", "name"], "left_semi").select("call_no", "rev")
+
+
+def expanded_proposals(proposals: DataFrame, assignments: DataFrame) -> DataFrame:
+    """(call_no, name, rev) of pending proposals, a row per revision: those that give a whole writer (``source``) stand for all revisions that writer holds."""
+    one = proposals.where("rev IS NOT NULL").select("call_no", "name", "rev")
+    whole = proposals.where("rev IS NULL AND source IS NOT NULL").select("call_no", "name", F.col("source").alias("__s"))
+    return one.unionByName(whole.join(assignments.select(F.col("name").alias("__s"), "rev"), "__s").select("call_no", "name", "rev"))
+
+
+def proposal_conflicts(proposals: DataFrame, assignments: DataFrame) -> DataFrame:
+    """(rev, n_names): revisions that pending proposals give to different names; an empty result means that all may be applied."""
+    return expanded_proposals(proposals, assignments).groupBy("rev").agg(F.countDistinct("name").alias("n_names")).where("n_names > 1")
+
+
+def apply_proposals(assignments: DataFrame, proposals: DataFrame, unsigned: DataFrame | None = None, reviewed: DataFrame | None = None) -> DataFrame:
+    """(rev, name, signed_as, time, label, proposed): assignments with each proposed edit at its proposed writer, marked; a moved edit keeps its name in signed_as.
+
+    proposals: (call_no, name, rev, source), see expanded_proposals; reviewed: (rev) that a review has placed, which stay; so do edits the writer already holds. An unsigned edit (rev, time, label) is
+    placed; other revisions that nobody holds are ignored. Raises when the plan runs if a revision is given to two names.
+    """
+    rows = expanded_proposals(proposals, assignments).groupBy("rev").agg(F.min(F.struct("call_no", "name")).alias("c"), F.countDistinct("name").alias("n"))
+    rows = rows.where(F.assert_true(F.col("n") == 1, F.lit("a revision is proposed to two names")).isNull()).select("rev", F.col("c.name").alias("to"))
+    if reviewed is not None:
+        rows = rows.join(reviewed.select("rev").distinct(), "rev", "left_anti")
+    joined = assignments.join(rows, "rev", "left")
+    moves = F.col("to").isNotNull() & (F.col("to") != F.col("name"))
+    held = joined.select("rev", F.when(moves, F.col("to")).otherwise(F.col("name")).alias("name"), F.when(moves, F.coalesce("signed_as", "name")).otherwise(F.col("signed_as")).alias("signed_as"), "time", "label", F.coalesce(moves, F.lit(False)).alias("proposed"))
+    if unsigned is None:
+        return held
+    free = unsigned.join(assignments.select("rev"), "rev", "left_anti").join(rows, "rev").select("rev", F.col("to").alias("name"), F.lit(None).cast("string").alias("signed_as"), "time", "label", F.lit(True).alias("proposed"))
+    return held.unionByName(free)
+
+
+def placement(assignments: DataFrame, calls: DataFrame, *, unsigned: DataFrame | None = None, proposals: DataFrame | None = None, families: DataFrame | None = None, alias_s: int = 600, containment_s: int = 86_400, floor: int = 2) -> DataFrame:
+    """(rev, name, part, signed_as, how): every edit with the writer it ends up with: calls, proposals, aliases, containment, splits, and the floor, in this order.
+
+    assignments: (rev, name, time, label, page_key); families: (rev, family). A writer with under ``floor`` edits after proposals is a one-off; its edits go to the only writer of
+    the same alias key, page and label within ``alias_s`` seconds, else to the only one whose name its words contain (see containment). how: signed, proposed, alias, containment, or one_off for
+    writers that still have fewer edits than the floor.
+    """
+    from strandline.operators.trajectories import containment
+
+    pages = assignments.select("rev", "page_key")
+    if unsigned is not None and "page_key" in unsigned.columns:
+        pages = pages.unionByName(unsigned.select("rev", "page_key"))
+    a = apply_calls(assignments, calls, unsigned, split=False)
+    reviewed = calls.where(F.col("decision").isin("attribute", "reassign")).select(F.explode("revs").alias("rev"))
+    a = apply_proposals(a, proposals, unsigned, reviewed) if proposals is not None else a.withColumn("proposed", F.lit(False))
+    a = a.join(pages, "rev", "left")
+    if families is not None:
+        a = a.join(families.select("rev", "family"), "rev", "left")
+    else:
+        a = a.withColumn("family", F.lit(None).cast("string"))
+
+    def sided(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        n = df.groupBy("name").agg(F.count(F.lit(1)).alias("__n"))
+        both = df.join(n, "name").withColumn("t", F.col("time").cast("bigint"))
+        return both.where(F.col("__n") < floor), both.where(F.col("__n") >= floor)
+
+    few, many = sided(a)
+    by_alias = placeable(few.select("rev", "name", "page_key", "label", "t"), many.select(F.col("name").alias("target"), "name", "page_key", "label", "t"), window_s=alias_s)
+    a = a.join(by_alias, "rev", "left").select("rev", F.coalesce("target", "name").alias("name"), F.when(F.col("target").isNotNull(), F.coalesce("signed_as", "name")).otherwise(F.col("signed_as")).alias("signed_as"), "time", "label", "page_key", "family", F.when(F.col("target").isNotNull(), "alias").when(F.col("proposed"), "proposed").otherwise("signed").alias("how"))
+    few, many = sided(a)
+    inside = containment(few.select("rev", "name", "family", "t"), many.select(F.col("name").alias("target"), "name", "family", "t"), window_s=containment_s)
+    a = a.join(inside, "rev", "left").select("rev", F.coalesce("target", "name").alias("name"), F.when(F.col("target").isNotNull(), F.coalesce("signed_as", "name")).otherwise(F.col("signed_as")).alias("signed_as"), "time", "label", F.when(F.col("target").isNotNull(), "containment").otherwise(F.col("how")).alias("how"))
+    parts = split_parts(a.select("rev", "name", "signed_as", "time", "label"), calls).join(a.select("rev", "how"), "rev")
+    n = parts.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return parts.join(n, "name").select("rev", "name", "part", "signed_as", F.when(F.col("n") < floor, "one_off").otherwise(F.col("how")).alias("how"))
 
 
 def alias_candidates(names: DataFrame, *, name: str, not_alias: DataFrame | None = None) -> DataFrame:

@@ -92,3 +92,44 @@ def conformity(posts: DataFrame, *, post: str, agent: str, page: str, time: str,
     # Of equally near posts any alike counts.
     per = side.groupBy("side", "i").agg(F.max("alike").alias("alike"), F.min(F.struct(F.abs(F.col("t") - F.col("u")).alias("d"), (-F.col("alike")).alias("a"))).alias("nearest"))
     return per.groupBy("side").agg(F.count(F.lit(1)).alias("n_items"), F.sum("alike").alias("n_alike"), F.sum(-F.col("nearest.a")).alias("n_nearest"))
+
+
+def name_conformity(posts: DataFrame, parts: DataFrame, *, post: str, agent: str, page: str, time: str, ahead_s: int = 43_200) -> DataFrame:
+    """(part, side, agent, page, t, own, visible, nearest): each agent's name parts beside those of others who posted on its first page before, and in the ``ahead_s`` seconds after.
+
+    parts: (agent, part, value), a row per part of a name. Agents who created their first page are left out, as there was nothing to copy. visible: the set of values of the others; nearest: the value of the nearest
+    of them (of equally near ones the least). Others are taken once per agent, by their last post before and their first after, so a hot page costs as many rows as it has agents.
+    """
+    rows = posts.where(F.col(agent).isNotNull() & F.col(time).isNotNull()).select(F.col(post).alias("i"), F.col(agent).alias("a"), F.col(page).alias("pg"), F.col(time).alias("t"))
+    first = rows.groupBy("a").agg(F.min(F.struct("t", "i", "pg")).alias("f")).select("a", F.col("f.t").alias("t"), F.col("f.pg").alias("pg"))
+    made = rows.groupBy("pg").agg(F.min(F.struct("t", "i", "a")).alias("m")).select("pg", F.col("m.a").alias("maker"))
+    own = first.join(made, "pg").where("a <> maker").drop("maker")
+    others = rows.select("pg", F.col("a").alias("other"), F.col("t").alias("u"))
+    met = own.join(others, "pg").where("other <> a AND u <> t").where(F.col("u") <= F.col("t") + ahead_s)
+    side = F.when(F.col("u") < F.col("t"), "past").otherwise("future")
+    near = met.groupBy("a", "pg", "t", side.alias("side"), "other").agg(F.min(F.abs(F.col("t") - F.col("u"))).alias("d"))
+    named = parts.select(F.col(parts.columns[0]).alias("who"), "part", "value")
+    valued = near.join(named.withColumnsRenamed({"who": "other", "value": "theirs"}), "other").join(named.withColumnsRenamed({"who": "a", "value": "own"}), ["a", "part"])
+    out = valued.groupBy("part", "side", "a", "pg", "t", "own").agg(F.array_sort(F.collect_set("theirs")).alias("visible"), F.min(F.struct("d", "theirs")).alias("n"))
+    return out.select("part", "side", F.col("a").alias(agent), F.col("pg").alias(page), "t", "own", "visible", F.col("n.theirs").alias("nearest"))
+
+
+def tool_mix(requests: DataFrame, *, agent: str, tool: Column, time: str, request: str, gap_s: int = 1_800, least: int = 5) -> DataFrame:
+    """(agent, tool, n, purity, n_sharing, n_sessions, same_share): each agent's dominant tool, its share, how many agents it dominates, and the share of the agent's sessions of ``least`` requests or more with the same one.
+
+    Of equally frequent tools the one used first counts. same_share is null with under two such sessions.
+    """
+    from strandline.operators.band import interval_lookup
+    from strandline.operators.sessions import sessionize
+
+    r = requests.where(F.col(agent).isNotNull() & F.col(time).isNotNull()).select(F.col(agent).alias("a"), tool.alias("tool"), F.col(time).alias("t"), F.col(request).alias("i")).withColumn("at", F.struct("t", "i"))
+    dominant = ordered_mode(r, by="a", value="tool", first="at").withColumnsRenamed({"n": "n_top"})
+    total = r.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    sharing = dominant.groupBy("tool").agg(F.count(F.lit(1)).alias("n_sharing"))
+    sessions = sessionize(r, key="a", time="t", gap_s=gap_s)
+    placed = interval_lookup(r, sessions.where(F.col("n_events") >= least), on="a", time="t", start="start_s", end="end_s", point_id="i", values={"session_no": F.col("session_no")}).select("i", "session_no")
+    in_session = r.join(placed, "i").withColumn("k", F.struct("a", "session_no"))
+    tops = ordered_mode(in_session, by="k", value="tool", first="at").select("k.a", F.col("tool").alias("session_tool"))
+    same = tops.join(dominant.select("a", "tool"), "a").groupBy("a").agg(F.count(F.lit(1)).alias("n_sessions"), F.avg((F.col("session_tool") == F.col("tool")).cast("int")).alias("s"))
+    out = dominant.join(total, "a").join(sharing, "tool").join(same, "a", "left")
+    return out.select(F.col("a").alias(agent), "tool", "n", "purity", "n_sharing", F.coalesce("n_sessions", F.lit(0)).alias("n_sessions"), F.when(F.col("n_sessions") >= 2, F.col("s")).alias("same_share"))

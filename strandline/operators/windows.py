@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,44 @@ def switches(events: DataFrame, *, agent: str, time: str, tie: str, value: str)
         F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("__last").isNotNull() & (F.col("__last") != F.col(value))).alias("n_switches"))
     new = rows.groupBy(agent).agg((F.countDistinct(value) - 1).alias("n_new"))
     return changed.join(new, agent)
+
+
+def variant_switches(posts: DataFrame, *, post: str, agent: str, page: str, time: str, variants: str, window_s: int = 43_200) -> DataFrame:
+    """One row of eight counts: turns of agents to a variant they had not used, by what others' posts on the page show in the ``window_s`` seconds before and after.
+
+    events; visible_before: the new variant stood there; visible_after_prior_users: it stands there afterwards, from agents who had used it before the turn; visible_after_any_author;
+    any_post_before, any_post_after; any_variant_post_before, any_variant_post_after. Posts of the same second and the agent's own never count. A turn needs an earlier
+    post of the agent with some variant, so it is found by first uses, which are aggregates: no agent's posts are put in order.
+    """
+    from strandline.operators.band import band_join
+
+    rows = posts.select(F.col(post).alias("i"), F.col(agent).alias("a"), F.col(page).alias("pg"), F.col(time).alias("t"), F.col(variants).alias("vs")).where("a IS NOT NULL AND t IS NOT NULL")
+    used = rows.select("i", "a", "pg", "t", F.explode("vs").alias("v"))
+    first = used.groupBy("a", "v").agg(F.min(F.struct("t", "i", "pg")).alias("f"))
+    begun = used.groupBy("a").agg(F.min(F.struct("t", "i")).alias("b"))
+    turns = first.join(begun, "a").where(F.struct("f.t", "f.i") > F.col("b")).select(F.concat_ws("\x1f", "a", "v").alias("e"), F.col("a").alias("own"), F.col("v").alias("new"), F.col("f.pg").alias("pg"), F.col("f.t").alias("t"))
+    near = band_join(turns, rows.select("pg", F.col("a").alias("other"), F.col("t").alias("u"), "vs"), on=["pg"], left_time="t", right_time="u", lo=-window_s, hi=window_s).where("other <> own AND u <> t")
+    near = near.join(first.select(F.col("a").alias("other"), F.col("v").alias("new"), F.col("f.t").alias("since")), ["other", "new"], "left")
+    before, shows, some = F.col("u") < F.col("t"), F.array_contains("vs", F.col("new")), F.size("vs") > 0
+    flags = {"visible_before": before & shows, "visible_after_prior_users": ~before & shows & (F.col("since") < F.col("t")), "visible_after_any_author": ~before & shows, "any_post_before": before, "any_post_after": ~before, "any_variant_post_before": before & some, "any_variant_post_after": ~before & some}
+    per = near.groupBy("e").agg(*[F.max(F.coalesce(c, F.lit(False)).cast("int")).alias(n) for n, c in flags.items()])
+    return turns.join(per, "e", "left").agg(F.count(F.lit(1)).alias("events"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in flags])
+
+
+def ranked(df: DataFrame, order: Column, tie: str) -> DataFrame:
+    """df with ``rank`` from 1 by ``order`` (a hash), then ``tie``: rows are numbered within buckets of the hash and buckets carried over, so nothing is sorted in one task."""
+    rows = df.withColumn("__h", order).withColumn("__b", F.shiftright("__h", 54))
+    sums = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))  # at most 1,024 rows
+    carry = sums.select("__b", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__c"))
+    return rows.join(F.broadcast(carry), "__b").withColumn("rank", F.col("__c") + F.row_number().over(Window.partitionBy("__b").orderBy("__h", tie))).drop("__h", "__b", "__c")
+
+
+def dealt_trait(traits: DataFrame, *, agent: str, trait: str, reps: int, seed: int = 7) -> DataFrame:
+    """(rep, agent, trait): the agents' traits dealt anew among all of them, ``reps`` times: a trait of the same spread that hangs on nothing. Two rankings by keyed hashes meet by rank."""
+    each = traits.select(F.col(agent).alias("a"), F.col(trait).alias("v")).where("a IS NOT NULL AND v IS NOT NULL")
+    out = None
+    for rep in range(1, reps + 1):
+        to, source = (ranked(each, F.xxhash64(F.lit(seed), F.lit(rep), F.lit(side), "a"), "a") for side in (0, 1))
+        one = to.select("rank", "a").join(source.select("rank", "v"), "rank").select(F.lit(rep).alias("rep"), F.col("a").alias(agent), F.col("v").alias(trait))
+        out = one if out is None else out.unionByName(one)
+    return out
