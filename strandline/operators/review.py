@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.lineage import durable
+
 DECISIONS = ("attribute", "reassign", "exclude", "merge", "split", "partition", "keep", "not_alias")
 
 
@@ -38,12 +40,20 @@ def _of(calls: DataFrame, decision: str) -> DataFrame:
     return calls.where(F.col("decision") == decision)
 
 
+#: Merges in a row: each round doubles how many are followed.
+MERGE_ROUNDS = 8
+
+
 def _followed(merged: DataFrame) -> DataFrame:
-    """(name, to): merges with those of their targets followed, a to b to c as a to c; ten steps double their reach each, and a circle ends on itself."""
-    for _ in range(10):
+    """(name, to): merges with those of their targets followed, a to b to c as a to c. Raises if they go round in a circle."""
+    merged = durable(merged)
+    for _ in range(MERGE_ROUNDS):
         further = merged.select(F.col("name").alias("to"), F.col("to").alias("next"))
-        merged = merged.join(further, "to", "left").select("name", F.coalesce("next", "to").alias("to"))
-    return merged.where("name <> to")
+        stepped = durable(merged.join(further, "to", "left").select("name", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+        if not stepped.where("moved").take(1):
+            return stepped.select("name", "to")
+        merged = durable(stepped.select("name", "to"))
+    raise ValueError("merges go round in a circle")
 
 
 def apply_calls(assignments: DataFrame, calls: DataFrame, unsigned: DataFrame | None = None, split: bool = True) -> DataFrame:
@@ -146,6 +156,7 @@ def placement(assignments: DataFrame, calls: DataFrame, *, unsigned: DataFrame |
         a = a.join(families.select("rev", "family"), "rev", "left")
     else:
         a = a.withColumn("family", F.lit(None).cast("string"))
+    a = durable(a)
 
     def sided(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         n = df.groupBy("name").agg(F.count(F.lit(1)).alias("__n"))
@@ -155,9 +166,11 @@ def placement(assignments: DataFrame, calls: DataFrame, *, unsigned: DataFrame |
     few, many = sided(a)
     by_alias = placeable(few.select("rev", "name", "page_key", "label", "t"), many.select(F.col("name").alias("target"), "name", "page_key", "label", "t"), window_s=alias_s)
     a = a.join(by_alias, "rev", "left").select("rev", F.coalesce("target", "name").alias("name"), F.when(F.col("target").isNotNull(), F.coalesce("signed_as", "name")).otherwise(F.col("signed_as")).alias("signed_as"), "time", "label", "page_key", "family", F.when(F.col("target").isNotNull(), "alias").when(F.col("proposed"), "proposed").otherwise("signed").alias("how"))
+    a = durable(a)
     few, many = sided(a)
     inside = containment(few.select("rev", "name", "family", "t"), many.select(F.col("name").alias("target"), "name", "family", "t"), window_s=containment_s)
     a = a.join(inside, "rev", "left").select("rev", F.coalesce("target", "name").alias("name"), F.when(F.col("target").isNotNull(), F.coalesce("signed_as", "name")).otherwise(F.col("signed_as")).alias("signed_as"), "time", "label", F.when(F.col("target").isNotNull(), "containment").otherwise(F.col("how")).alias("how"))
+    a = durable(a)
     parts = split_parts(a.select("rev", "name", "signed_as", "time", "label"), calls).join(a.select("rev", "how"), "rev")
     n = parts.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     return parts.join(n, "name").select("rev", "name", "part", "signed_as", F.when(F.col("n") < floor, "one_off").otherwise(F.col("how")).alias("how"))

@@ -75,14 +75,6 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
     return trajectories.asked_revision(r, v.withColumnRenamed("t", "saved"), read="read_id", page="page_key", asked="wanted", time="t", seq="seq", saved="saved").groupBy("how").agg(F.count(F.lit(1)).alias("n"))
 
 
-def contained(spark: SparkSession, sf: str) -> DataFrame:
-    """One-off edits that belong to a writer by the words and date of their names."""
-    e = edits(spark, sf, "family", "profile_id", "signed_as").where("signed_as IS NOT NULL AND profile_id IS NOT NULL").withColumnRenamed("signed_as", "name")
-    n = e.groupBy("profile_id").agg(F.count(F.lit(1)).alias("n"))
-    e = e.join(n, "profile_id")
-    return trajectories.containment(e.where("n = 1").select("rev", "name", "family", "t"), e.where("n > 1").select(F.col("profile_id").alias("target"), "name", "family", "t"))
-
-
 def board_index(spark: SparkSession, sf: str) -> DataFrame:
     """K8: the review board's list of writers, with the edits to look at."""
     p = profiles(spark, sf, "name", "primary_family", "review_decision")
@@ -100,7 +92,7 @@ def board_page(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "writers_assembled": assembled, "writers_origins": origins, "writers_name_parts": name_parts, "edits_requests": requests, "edits_addressed": addressed, "edits_conformity": conform, "writers_shared_codes": shared_codes,
-    "reads_asked": asked, "edits_contained": contained, "board_index": board_index, "board_pages": board_page,
+    "reads_asked": asked, "board_index": board_index, "board_pages": board_page,
 }
 
 ORACLE = {

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text as tx
 from strandline.functions import times, web
-from strandline.operators import exposure, lines, matching, review, stats
+from strandline.operators import exposure, lines, matching, stats
 from strandline.operators.rows import once
 from strandline.sources.tables import table
 
@@ -66,13 +66,6 @@ def last_signoff(spark: SparkSession, sf: str) -> DataFrame:
     return lines.last_signed(edits(spark, sf, "text"), rev="rev", text="text").select("rev", "signed_as", F.col("line_no").cast("int").alias("line_no"))
 
 
-def rule_signed(spark: SparkSession, sf: str) -> DataFrame:
-    """Revisions by the signature form that fires first, those turned down too, and how often it gives the stored name."""
-    found = lines.rule_signed(edits(spark, sf, "text", "label"), rev="rev", text="text", label="label", rejected=True)
-    stored = edits(spark, sf, "signed_as").select("rev", "signed_as")
-    return found.join(stored, "rev").groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("name") == F.col("signed_as")).alias("agree"), F.count_if(F.col("name") != F.col("signed_as")).alias("differ"))
-
-
 def own_block(spark: SparkSession, sf: str) -> DataFrame:
     """The signed block of each revision, its last 80 characters."""
     return lines.own_block(edits(spark, sf, "text"), rev="rev", text="text").select("rev", F.right("block", F.lit(80)).alias("tail"), F.char_length("block").alias("n_chars"))
@@ -169,12 +162,6 @@ def reconcile(spark: SparkSession, sf: str) -> DataFrame:
     return matching.reconciled(p, {"edits in scope": (F.sum(F.coalesce("made", F.lit(0))), F.sum("edits_in_scope")), "family page edits": (F.sum(F.coalesce("made_family", F.lit(0))), F.sum("family_page_edits")), "profiles": (F.count(F.lit(1)), F.countDistinct("id"))})
 
 
-def copied_holders(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts that revisions of more than one writer hold."""
-    e = edits(spark, sf, "text", "profile_id").where("text IS NOT NULL AND profile_id IS NOT NULL")
-    return matching.multi_holders(e.select(F.md5("text").alias("digest"), "profile_id"), item="digest", owner="profile_id")
-
-
 def mentions(spark: SparkSession, sf: str) -> DataFrame:
     """Places named in a text that are part of a page title, with the texts and pages."""
     e = edits(spark, sf, "text", "page_key").where("text IS NOT NULL")
@@ -227,33 +214,12 @@ def page_mode(spark: SparkSession, sf: str) -> DataFrame:
     return stats.ordered_mode(e, by="page_key", value="label", first="seq").select("page_key", "label", "n", F.round("purity", 6).alias("purity"))
 
 
-def aliases(spark: SparkSession, sf: str) -> DataFrame:
-    """Names of writers that are aliases by their key."""
-    return review.alias_candidates(profiles(spark, sf, "name"), name="name")
-
-
-def placeable(spark: SparkSession, sf: str) -> DataFrame:
-    """One-off edits that belong to just one writer by alias key, page, label and time."""
-    e = edits(spark, sf, "page_key", "label", "profile_id", "signed_as").where("signed_as IS NOT NULL AND profile_id IS NOT NULL")
-    n = e.groupBy("profile_id").agg(F.count(F.lit(1)).alias("n"))
-    e = e.join(n, "profile_id").withColumn("name", F.col("signed_as"))
-    return review.placeable(e.where("n = 1").select("rev", "name", "page_key", "label", "t"), e.where("n >= 2").select(F.col("profile_id").alias("target"), "name", "page_key", "label", "t"), window_s=86_400)
-
-
-def contradictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of a writer's revisions whose clocks for one round differ more often than they agree."""
-    from strandline.operators.claims import contradictions as find
-
-    e = edits(spark, sf, "label", "text").where("text IS NOT NULL AND label IS NOT NULL")
-    return find(e, writer="label", post="rev", text="text").where("n_disagree > n_agree")
-
-
 QUERIES = {
-    "edits_scope": scope, "edits_family_pivot": family_pivot, "edits_novel_lines": novel, "documents_novel_lines": documents_novel, "edits_first_seen": first_seen, "edits_last_signoff": last_signoff, "edits_rule_signed": rule_signed,
+    "edits_scope": scope, "edits_family_pivot": family_pivot, "edits_novel_lines": novel, "documents_novel_lines": documents_novel, "edits_first_seen": first_seen, "edits_last_signoff": last_signoff,
     "edits_own_block": own_block, "edits_features": features, "edits_variants": feature_variants, "edits_samples": samples, "edits_url_counts": url_counts, "edits_link_parts": link_parts, "edits_page_words": page_words,
     "edits_page_keys": page_keys, "edits_email_scrub": email_scrub, "edits_spans": spans, "profiles_families": profile_families, "edits_unplaced": unplaced, "edits_level_union": level_union, "edits_reconcile": reconcile,
-    "edits_copied_holders": copied_holders, "edits_mentions": mentions, "edits_shared_shingles": shared_shingles, "edits_adoption": adoption, "edits_read_before": read_before, "edits_nearby_posts": nearby_posts,
-    "edits_page_mode": page_mode, "profiles_aliases": aliases, "edits_placeable": placeable, "edits_contradictions": contradictions,
+    "edits_mentions": mentions, "edits_shared_shingles": shared_shingles, "edits_adoption": adoption, "edits_read_before": read_before, "edits_nearby_posts": nearby_posts,
+    "edits_page_mode": page_mode, 
 }
 
 # Repeated rows are equal in what these queries read.
@@ -268,11 +234,6 @@ def _when(table_: dict[str, str]) -> str:
     return "list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in table_.items()) + "], lambda x: x IS NOT NULL))"
 
 
-def _clause(p: str) -> str:
-    """What follows a form's name up to the end of the clause."""
-    return f"regexp_extract(regexp_extract(line, '{p}', 2), '^([^.;]{{0,60}})', 1)"
-
-
 ORACLE = {
     "edits_scope": _E + """, p AS (SELECT DISTINCT page_key, page_family FROM wiki_pages)
 SELECT CASE WHEN page_family IN (SELECT family_id FROM families) THEN 'family' WHEN page_family LIKE 'relay%' THEN 'relay' ELSE 'other' END AS scope, count(*) AS n, count(DISTINCT e.page_key) AS n_pages FROM e LEFT JOIN p USING (page_key) GROUP BY 1""",
@@ -296,7 +257,6 @@ SELECT count(*) AS n, count(*) FILTER (made = page_key) AS n_key, count(*) FILTE
     "edits_reconcile": _E + """, p AS (SELECT DISTINCT ON (id) * FROM profiles), m AS (SELECT profile_id, count(*) FILTER (scope IN ('family', 'relay')) AS made, count(*) FILTER (scope = 'family') AS made_family FROM e GROUP BY 1), x AS (SELECT p.id, p.edits_in_scope, p.family_page_edits, coalesce(made, 0) AS made, coalesce(made_family, 0) AS made_family FROM p LEFT JOIN m ON m.profile_id = p.id),
 r AS (SELECT 'edits in scope' AS check_name, CAST(sum(made) AS DOUBLE) AS recomputed, CAST(sum(edits_in_scope) AS DOUBLE) AS stored FROM x UNION ALL SELECT 'family page edits', CAST(sum(made_family) AS DOUBLE), CAST(sum(family_page_edits) AS DOUBLE) FROM x UNION ALL SELECT 'profiles', CAST(count(*) AS DOUBLE), CAST(count(DISTINCT id) AS DOUBLE) FROM x)
 SELECT *, recomputed IS NOT DISTINCT FROM stored AS equal FROM r""",
-    "edits_copied_holders": _E + " SELECT md5(text) AS digest, count(DISTINCT profile_id) AS n_owners FROM e WHERE text IS NOT NULL AND profile_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT profile_id) > 1",
     "edits_mentions": _E + r", n AS (SELECT rev, page_key, unnest(list_distinct(regexp_extract_all(text, '\b[A-Z][a-z]{6,}\b'))) AS word FROM e), t AS (SELECT DISTINCT unnest(regexp_extract_all(page, '[A-Z][a-z]{6,}')) AS word FROM e) SELECT word, count(*) AS n, count(DISTINCT page_key) AS n_pages FROM n JOIN t USING (word) GROUP BY 1",
     "edits_shared_shingles": _E + """, w AS (SELECT rev, page_key, t, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM e WHERE text IS NOT NULL AND t IS NOT NULL),
 s AS (SELECT DISTINCT rev, page_key, t, array_to_string(ws[i : i + 7], ' ') AS s FROM w, unnest(generate_series(1, len(ws) - 7)) AS u(i)),
@@ -315,15 +275,4 @@ q AS (SELECT regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\
   list_transform(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: regexp_replace(regexp_extract(x, '^([^=]*)', 1), '^amp;', '')) AS ks FROM u),
 k AS (SELECT host, last, ks, list_filter(ks, lambda x: x NOT IN (@busters)) AS rest, list_sort(list_distinct(list_filter(ks, lambda x: x IN (@busters)))) AS bust FROM q)
 SELECT last, coalesce(nullif(array_to_string(rest, ' '), ''), '-') AS keys, coalesce(nullif(array_to_string(bust, ','), ''), '-') AS cache, count(*) AS n, count(DISTINCT host) AS n_hosts, max(len(list_distinct(ks))) AS n_keys FROM k GROUP BY 1, 2, 3""".replace("@busters", ", ".join(f"'{x}'" for x in web.CACHE_BUSTERS)),
-    "edits_rule_signed": _L.replace("SELECT rev, page_key, seq,", "SELECT rev, page_key, seq, label,") + ", nb AS (SELECT rev, label, line_no, line, row_number() OVER (PARTITION BY rev ORDER BY line_no) AS nth FROM l WHERE trim(line, ' ') <> ''), o AS ("
-    + _UNION.join(
-        f"SELECT rev, {i} AS ord, line_no, regexp_extract({_line}, '{p}', 1) AS name, " + {
-            "R2": f"CASE WHEN regexp_matches({_clause(p)}, '{lines.ADDRESSES}') THEN 'x_vocative' ELSE 'R2' END",
-            "R4": f"CASE WHEN regexp_matches(regexp_extract(line, '{p}', 1), '{lines.BARE_DATE}') THEN CASE WHEN coalesce(ends_with(label, regexp_extract(line, '{p}', 1)), false) THEN 'R4' ELSE 'x_bare_date' END WHEN regexp_matches(line, '{lines.MARKED}') THEN 'R4' WHEN regexp_matches({_clause(p)}, '{lines.ADDRESSES}') THEN CASE WHEN coalesce(regexp_extract(line, '{p}', 1) = label, false) THEN 'R4' ELSE 'x_vocative' END WHEN regexp_matches({_clause(p)}, '{lines.REPORTS}') OR coalesce(regexp_extract(line, '{p}', 1) = label, false) THEN 'R4' ELSE 'x_other' END",
-        }.get(rule, f"'{rule}'") + f" AS rule FROM nb WHERE regexp_matches({_line}, '{p}')"
-        + (f" AND NOT regexp_matches(regexp_extract({_line}, '{p}', 1), '{lines.BARE_DATE}')" if rule == "R3" else f" AND nth <= {lines.OPENING}" if rule == "R4" else "")
-        for i, (rule, p) in enumerate(lines.SIGNATURE_FORMS)
-        for _line in ["line" if rule in ("R2", "R4") else "rtrim(line)"]
-    )
-    + "), f AS (SELECT rev, min((ord, line_no, rule, name)) AS m FROM o GROUP BY 1) SELECT m[3] AS rule, count(*) AS n, count(*) FILTER (m[4] = signed_as) AS agree, count(*) FILTER (m[4] <> signed_as) AS differ FROM f JOIN e USING (rev) GROUP BY 1",
 }

@@ -193,7 +193,7 @@ i AS (SELECT own.part, n.side, n.a, max(CASE WHEN own.v = th.v THEN 1 ELSE 0 END
 SELECT part, side, count(*) AS n, count(*) FILTER (same = 1) AS n_visible FROM i GROUP BY 1, 2""",
     "readers_tools": _RE + """, x AS (SELECT read_id, traj_id AS a, coalesce(cls, '') || '|' || coalesce(action, '') AS tool, t FROM r WHERE traj_id IS NOT NULL AND t IS NOT NULL),
 c AS (SELECT a, tool, count(*) AS n, min((t, read_id)) AS f FROM x GROUP BY 1, 2), d AS (SELECT a, arg_min(tool, (-n, f)) AS tool, max(n) AS top, sum(n) AS n FROM c GROUP BY 1), sh AS (SELECT tool, count(*) AS n_sharing FROM d GROUP BY 1),
-g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY a ORDER BY t) <= 1800 THEN 0 ELSE 1 END AS new FROM x), s AS (SELECT *, sum(new) OVER (PARTITION BY a ORDER BY t, read_id ROWS UNBOUNDED PRECEDING) AS k FROM g),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY a ORDER BY t, read_id) <= 1800 THEN 0 ELSE 1 END AS new FROM x), s AS (SELECT *, sum(new) OVER (PARTITION BY a ORDER BY t, read_id ROWS UNBOUNDED PRECEDING) AS k FROM g),
 big AS (SELECT a, k FROM s GROUP BY 1, 2 HAVING count(*) >= 5), sc AS (SELECT a, k, tool, count(*) AS n, min((t, read_id)) AS f FROM s JOIN big USING (a, k) GROUP BY 1, 2, 3), st AS (SELECT a, k, arg_min(tool, (-n, f)) AS tool FROM sc GROUP BY 1, 2),
 sm AS (SELECT st.a, count(*) AS n_sessions, avg(CASE WHEN st.tool = d.tool THEN 1.0 ELSE 0.0 END) AS share FROM st JOIN d ON d.a = st.a GROUP BY 1)
 SELECT d.a AS traj_id, d.tool, CAST(d.n AS BIGINT) AS n, round(top / d.n, 6) AS purity, n_sharing, coalesce(n_sessions, 0) AS n_sessions, CASE WHEN n_sessions >= 2 THEN round(share, 6) ELSE -1 END AS same_share FROM d JOIN sh USING (tool) LEFT JOIN sm ON sm.a = d.a""",

@@ -85,6 +85,8 @@ n AS (SELECT name, ts, sum(new) OVER (PARTITION BY name ORDER BY ts ROWS UNBOUND
 
 ORACLE = {
     "p1_found": _P1 + "SELECT read_id, seen FROM x WHERE NOT deleted",
+    "p1_seen": _P1 + """, ch AS (SELECT e.page_key, CAST(-floor(-e.shown / 1e6) AS BIGINT) AS t FROM e WHERE seq IS NOT NULL UNION SELECT d.page_key, CAST(-floor(-d.at / 1e6) AS BIGINT) FROM d)
+SELECT x.read_id, x.page_key, x.ts, (SELECT count(*) FROM ch WHERE ch.page_key = x.page_key AND ch.t <= x.ts) AS version, seen, deleted FROM x""",
     "p3_found": _P3 + "SELECT name, min(ts) AS start_s, max(ts) AS end_s FROM n GROUP BY name, session_no",
     "p3_sessions": _P3 + "SELECT name, CAST(session_no AS BIGINT) AS session_no, min(ts) AS start_s, max(ts) AS end_s, max(ts) - min(ts) AS duration_s, count(*) AS n_events FROM n GROUP BY name, session_no",
 }

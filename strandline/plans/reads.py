@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import times
-from strandline.operators import exposure, windows
+from strandline.operators import windows
 from strandline.operators.rows import once
 from strandline.sources.tables import table
 
@@ -52,26 +52,6 @@ def never_edited(spark: SparkSession, sf: str) -> DataFrame:
     return reads(spark, sf, "page_key").where("page_key IS NOT NULL").join(known, "page_key", "left_anti").groupBy("page_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def save_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Reads of a page by a name in the minute in which the same name saved it, to just one revision."""
-    e = once(table(spark, sf, "edits"), "rev", {"page_key": F.col("page_key"), "name": F.col("label"), "t": times.iso_seconds(F.col("time"))})
-    e = e.select("rev", "page_key", "name", F.floor(F.col("t") / 60).alias("minute"))
-    r = reads(spark, sf, "page_key", "name").where("name <> ''").select("read_id", "page_key", "name", F.floor(F.col("t") / 60).alias("minute"))
-    return r.join(e, ["page_key", "name", "minute"]).groupBy("read_id").agg(F.min("rev").alias("rev"), F.countDistinct("rev").alias("n")).where("n = 1").select("read_id", "rev")
-
-
-def name_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    """Each name by what its attributed reads say about who was behind it."""
-    own = once(table(spark, sf, "profiles"), "id", {"own_name": F.col("name")}).select(F.col("id").alias("traj_id"), "own_name")
-    used = reads(spark, sf, "name", "traj_id").where("name <> '' AND traj_id IS NOT NULL").select("name", "traj_id").distinct().join(own, "traj_id", "left")
-    n_users = used.groupBy("name").agg(F.countDistinct("traj_id").alias("n_users"))
-    kind = exposure.evidence_kind(F.coalesce(F.col("own_name") == F.col("name"), F.lit(False)), F.lit(False), F.col("name").contains(" "), F.col("n_users"))
-    k = used.join(n_users, "name").withColumn("kind", kind)
-    strong, weak = F.collect_set(F.when(F.col("kind").isin("own", "private"), F.col("traj_id"))), F.collect_set(F.when(~F.col("kind").isin("own", "private"), F.col("traj_id")))
-    per_name = k.groupBy("name").agg(strong.alias("strong"), weak.alias("weak"))
-    return per_name.groupBy(exposure.session_tier(F.col("strong"), F.col("weak"), F.lit(None)).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def last_cuts(spark: SparkSession, sf: str) -> DataFrame:
     """Each page's revisions cut before every deletion, numbered from 1."""
     e = once(table(spark, sf, "edits"), "rev", {"page_key": F.col("page_key"), "t": times.iso_seconds(F.col("time"))})
@@ -82,8 +62,8 @@ def last_cuts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "reads_page_hours": page_hours, "reads_class_counts": class_counts, "reads_peaks": peaks, "reads_since_first": since_first, "reads_top_pages": top_pages, "reads_never_edited": never_edited, "reads_save_join": save_join,
-    "reads_name_tiers": name_tiers, "pages_last_cuts": last_cuts,
+    "reads_page_hours": page_hours, "reads_class_counts": class_counts, "reads_peaks": peaks, "reads_since_first": since_first, "reads_top_pages": top_pages, "reads_never_edited": never_edited,
+    "pages_last_cuts": last_cuts,
 }
 
 _R = "WITH r AS (SELECT *, CASE WHEN abs(ts) > 100000000000 THEN ts // 1000 ELSE ts END AS t FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY logged_at) AS rn FROM reads) WHERE rn = 1)"
@@ -98,10 +78,5 @@ SELECT p.name, max(p.n) AS peak, coalesce(any_value(m.n), 0) AS peak_families FR
     "reads_since_first": _RE + ", f AS (SELECT profile_id, min(t) AS t0 FROM e WHERE profile_id IS NOT NULL GROUP BY 1) SELECT traj_id, count(*) AS n, min(r.t - t0) AS least_s, max(r.t - t0) AS most_s, count(*) FILTER (r.t < t0) AS n_before FROM r JOIN f ON f.profile_id = r.traj_id WHERE r.t IS NOT NULL GROUP BY 1",
     "reads_top_pages": _R + " SELECT page_key, count(*) AS n FROM r WHERE page_key IS NOT NULL GROUP BY 1 ORDER BY n DESC, page_key LIMIT 30",
     "reads_never_edited": _R + " SELECT page_key, count(*) AS n FROM r WHERE page_key IS NOT NULL AND page_key NOT IN (SELECT page_key FROM edits WHERE page_key IS NOT NULL) GROUP BY 1",
-    "reads_save_join": _RE + " SELECT read_id, min(rev) AS rev FROM r JOIN e ON r.page_key = e.page_key AND r.name = e.label AND r.t // 60 = e.t // 60 WHERE r.name <> '' GROUP BY 1 HAVING count(DISTINCT rev) = 1",
-    "reads_name_tiers": _R + """, o AS (SELECT DISTINCT ON (id) id, name AS own FROM profiles), u AS (SELECT DISTINCT r.name, traj_id, own FROM r LEFT JOIN o ON o.id = traj_id WHERE r.name <> '' AND traj_id IS NOT NULL),
-k AS (SELECT name, traj_id, CASE WHEN own = name THEN 'own' WHEN contains(name, ' ') THEN 'generic' WHEN count(*) OVER (PARTITION BY name) > 1 THEN 'shared' ELSE 'private' END AS kind FROM u),
-s AS (SELECT name, count(*) FILTER (kind IN ('own', 'private')) AS strong, count(*) FILTER (kind NOT IN ('own', 'private')) AS weak FROM k GROUP BY 1)
-SELECT CASE WHEN strong = 1 AND weak = 0 THEN 'session' WHEN strong > 0 THEN 'ambiguous' WHEN weak > 0 THEN 'weak' ELSE 'none' END AS tier, count(*) AS n FROM s GROUP BY 1""",
     "pages_last_cuts": "WITH e AS (SELECT DISTINCT ON (rev) *, epoch_us(CAST(time AS TIMESTAMPTZ)) // 1000000 AS t FROM edits), d AS (SELECT DISTINCT page_key, epoch_us(CAST(time AS TIMESTAMPTZ)) // 1000000 AS t FROM page_events WHERE event_type = 'delete'), x AS (SELECT e.rev, e.page_key, 1 + count(d.t) AS part FROM e LEFT JOIN d ON d.page_key = e.page_key AND d.t < e.t GROUP BY 1, 2) SELECT page_key, part, count(*) AS n FROM x GROUP BY 1, 2",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandline.plans import behaviour, edits, events, evidence, problems, reads, tpch
+from strandline.plans import behaviour, edits, events, evidence, fixtures, problems, reads, tpch
 
-MODULES = (problems, events, edits, behaviour, reads, evidence, tpch)
+MODULES = (problems, events, edits, behaviour, reads, evidence, fixtures, tpch)
 
 FLAGSHIP = events.exposure_mh
 
