@@ -70,7 +70,9 @@ def key_order(ps: Column) -> Column:
 def kept_query(ps: Column) -> Column:
     """The query again, without private and cache-defeating keys."""
     kept = F.filter(ps, lambda p: ~p["k"].isin(PRIVATE_KEYS + CACHE_BUSTERS))
-    return F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
+    # Decoded and encoded again, so that a value has one form.
+    plain = lambda c: F.url_encode(F.coalesce(F.try_url_decode(c), c))
+    return F.array_join(F.transform(kept, lambda p: F.concat(plain(p["k"]), F.lit("="), plain(p["v"]))), "&")
 
 
 def net24(ip: Column) -> Column:
@@ -90,9 +92,11 @@ def network(ip: Column, v4: int = 24, v6: int = 48) -> Column:
             return None
 
     def read(values: pd.Series) -> pd.Series:
-        return values.map(prefix)
+        # Each different address once.
+        return values.map({value: prefix(value) for value in values.unique()})
 
-    return F.pandas_udf(read, "string")(ip)
+    wide = F.pandas_udf(read, "string")(F.when(ip.contains(":"), ip))
+    return F.coalesce(net24(ip), wide) if v4 == 24 else F.pandas_udf(read, "string")(ip)
 
 
 def keyed_digest(value: Column, key: bytes, length: int) -> Column:

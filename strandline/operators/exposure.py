@@ -142,6 +142,21 @@ def active_count(points: DataFrame, sessions: DataFrame, *, by: str, point_id: s
     return found.select(point_id, "n")
 
 
+def agents_within(points: DataFrame, marks: DataFrame, *, point_id: str, agent: str, time: str, lo: int, hi: int) -> DataFrame:
+    """(point_id, own, others): how many agents have a mark in [time + lo, time + hi] of each point: the point's own agent (0 or 1), and others.
+
+    points: (point_id, agent, time); marks: (agent, time). Counted as-of (see active_count), for everybody and for each agent, so points never meet marks however many
+    there are in the window. Points with a null time give no row.
+    """
+    shifted = marks.where(F.col(agent).isNotNull() & F.col(time).isNotNull()).select(agent, (F.col(time) - (hi + 1)).alias(time))
+    sessions = durable(sessionize(shifted, key=agent, time=time, gap_s=hi - lo + 1).select(agent, "start_s", "end_s").withColumn("__all", F.lit(0)))
+    p = points.where(F.col(time).isNotNull()).select(point_id, agent, time).withColumn("__all", F.lit(0))
+    count = lambda by, name: active_count(p, sessions, by=by, point_id=point_id, time=time, window_s=hi - lo + 1).withColumnRenamed("n", name)
+    both = p.select(point_id).join(count("__all", "__every"), point_id, "left").join(count(agent, "own"), point_id, "left")
+    own = F.coalesce("own", F.lit(0))
+    return both.select(point_id, own.alias("own"), (F.coalesce("__every", F.lit(0)) - own).alias("others"))
+
+
 def running_total(steps: DataFrame, *, by: str, at: str, value: str, bucket_s: int = 86_400) -> DataFrame:
     """(by, at, total): the sum of a key's values up to and including each time; sums of time buckets are carried over, so a hot key is spread over its buckets."""
     from pyspark.sql import Window

@@ -189,3 +189,20 @@ def ordered_mode(rows: DataFrame, *, by: str, value: str, first: str) -> DataFra
     counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("f"))
     total = counts.groupBy(by).agg(F.sum("n").alias("all"), F.min(F.struct((-F.col("n")).alias("m"), F.col("f"), F.col(value).alias("v"), F.col("n"))).alias("best"))
     return total.select(by, F.col("best.v").alias(value), F.col("best.n").alias("n"), (F.col("best.n") / F.col("all")).alias("purity"))
+
+
+def at_ranks(rows: DataFrame, *, by: str, value: str, ranks: dict[str, Column], width: float = 1.0) -> DataFrame:
+    """(by, *ranks): the values of each group at given ranks from 1; ranks: expressions over ``n``, the group's size.
+
+    Values are counted by buckets of ``width`` first; only the buckets that hold a wanted rank are put in order, so a group with all the rows is never sorted in one task.
+    """
+    from pyspark.sql import Window
+
+    r = rows.where(F.col(by).isNotNull() & F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).alias("v"), F.floor(F.col(value) / width).alias("b"))
+    counts = r.groupBy("g", "b").agg(F.count(F.lit(1)).alias("m"))
+    sizes = counts.groupBy("g").agg(F.sum("m").alias("n"))
+    upto = counts.withColumn("after", F.sum("m").over(Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)))
+    wanted = sizes.select("g", F.explode(F.array(*[F.struct(F.lit(k).alias("what"), c.cast("bigint").alias("rank")) for k, c in ranks.items()])).alias("w")).select("g", "w.*")
+    held = upto.join(wanted, "g").where((F.col("rank") <= F.col("after")) & (F.col("rank") > F.col("after") - F.col("m"))).select("g", "b", "what", (F.col("rank") - F.col("after") + F.col("m")).alias("place"))
+    near = r.join(held.select("g", "b").distinct(), ["g", "b"]).withColumn("place", F.row_number().over(Window.partitionBy("g", "b").orderBy("v")))
+    return near.join(held, ["g", "b", "place"]).groupBy(F.col("g").alias(by)).agg(*[F.max(F.when(F.col("what") == k, F.col("v"))).alias(k) for k in ranks])

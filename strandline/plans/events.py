@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import times
-from strandline.operators import band, matching, stats, windows
+from strandline.operators import band, exposure, matching, stats, windows
 from strandline.operators.sessions import sessionize
 from strandline.sources.tables import table
 
@@ -55,10 +55,8 @@ def exposure_rows(spark: SparkSession, sf: str) -> DataFrame:
     """At-risk rows with ``exposed``: an error of another user in the half hour before."""
     e = events(spark, sf)
     rows = stats.at_risk(e, agent="user_id", time="t", outcome=F.col("event_type") == "purchase", tie="event_id").select(F.col("event_id").alias("__row"), "user_id", "t", "event_type")
-    errors = e.where("event_type = 'error'").select(F.col("user_id").alias("other"), F.col("t").alias("t_error")).distinct()
-    near = band.band_join(rows.select("__row", "user_id", "t"), errors, on=[], left_time="t", right_time="t_error", lo=-EXPOSURE_S, hi=-1)
-    hit = near.where("other <> user_id").select("__row").distinct().withColumn("exposed", F.lit(True))
-    return rows.join(hit, "__row", "left").select(F.col("__row").alias("event_id"), "user_id", "t", F.coalesce("exposed", F.lit(False)).alias("exposed"), (F.col("event_type") == "purchase").alias("bought"), F.floor(F.col("t") / STRATUM_S).alias("stratum"))
+    near = exposure.agents_within(rows.select("__row", "user_id", "t"), e.where("event_type = 'error'").select("user_id", "t"), point_id="__row", agent="user_id", time="t", lo=-EXPOSURE_S, hi=-1)
+    return rows.join(near, "__row", "left").select(F.col("__row").alias("event_id"), "user_id", "t", F.coalesce(F.col("others") > 0, F.lit(False)).alias("exposed"), (F.col("event_type") == "purchase").alias("bought"), F.floor(F.col("t") / STRATUM_S).alias("stratum"))
 
 
 def exposure_strata(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,12 +134,10 @@ def latest_state(spark: SparkSession, sf: str) -> DataFrame:
 def three_medians(spark: SparkSession, sf: str) -> DataFrame:
     """The interpolated median, the upper one and the lower quartile's element, per type."""
     e = events(spark, sf).where("value IS NOT NULL")
-    ranked = e.select("event_type", "value", F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id")).alias("k"))
-    n = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.percentile("value", F.lit(0.5)).alias("median"))
-    at = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
-    half, quarter = F.floor(F.col("n") / 2) + 1, F.floor(F.col("n") / 4) + 1
-    picked = ranked.join(n, "event_type").groupBy("event_type").agg(at(half).alias("upper"), at(quarter).alias("quarter"), F.max("median").alias("median"))
-    return picked.select("event_type", F.round("median", 6).alias("median"), F.round("upper", 6).alias("upper"), F.round("quarter", 6).alias("quarter"))
+    n = F.col("n")
+    half = {"low": F.floor((n + 1) / 2), "upper": F.floor(n / 2) + 1, "quarter": F.floor(n / 4) + 1}
+    at = stats.at_ranks(e, by="event_type", value="value", ranks=half)
+    return at.select("event_type", F.round((F.col("low") + F.col("upper")) / 2, 6).alias("median"), F.round("upper", 6).alias("upper"), F.round("quarter", 6).alias("quarter"))
 
 
 def _items(e: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -188,10 +184,8 @@ def bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     """Views followed by a click within ten minutes against those with another user's click: excess with its interval."""
     e = events(spark, sf)
     views = e.where("event_type = 'view'").select(F.col("event_id").alias("__row"), "user_id", "t")
-    clicks = e.where("event_type = 'click'").select(F.col("user_id").alias("other"), F.col("t").alias("t_click"))
-    near = band.band_join(views, clicks, on=[], left_time="t", right_time="t_click", lo=0, hi=600)
-    hits = near.groupBy("__row").agg(F.max((F.col("other") == F.col("user_id")).cast("int")).alias("hit"), F.max((F.col("other") != F.col("user_id")).cast("int")).alias("decoy"))
-    rows = views.join(hits, "__row", "left").select("user_id", F.coalesce("hit", F.lit(0)).alias("hit"), F.coalesce("decoy", F.lit(0)).alias("decoy"))
+    near = exposure.agents_within(views, e.where("event_type = 'click'").select("user_id", "t"), point_id="__row", agent="user_id", time="t", lo=0, hi=600)
+    rows = views.join(near, "__row").select("user_id", F.col("own").alias("hit"), (F.col("others") > 0).cast("int").alias("decoy"))
     return stats.cluster_bootstrap(rows, cluster="user_id", hit="hit", decoy="decoy")
 
 

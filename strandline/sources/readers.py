@@ -85,3 +85,47 @@ def merged_sources(spark: SparkSession, paths: dict[str, str], schema: str, key:
     columns = [c for c in out.columns if c != key]
     best = out.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct("__rank", F.to_json(F.struct(*columns)))).alias("r"))
     return best.select(key, *[F.col(f"r.{c}").alias(c) for c in columns if c != "__rank"])
+
+
+def zip_lines(spark: SparkSession, path: str, member: str, schema: str) -> DataFrame:
+    """The JSON lines of one member of each zip archive below a path, only the columns of the schema. An archive is read by one task: zip isn't splittable."""
+    import io
+    import zipfile
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def lines(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for content in part.content:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    if member not in z.namelist():
+                        continue
+                    with z.open(member) as raw:
+                        chunk: list[str] = []
+                        for line in io.TextIOWrapper(raw, "utf-8"):
+                            if line.strip():
+                                chunk.append(line.strip())
+                            if len(chunk) == 5_000:
+                                yield pd.DataFrame({"value": chunk})
+                                chunk = []
+                        yield pd.DataFrame({"value": chunk})
+
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content").mapInPandas(lines, "value string")
+    return raw.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def observations(spark: SparkSession, path: str) -> DataFrame:
+    """(rev, n, last): the observation index, by revision: how many there are, and the signature of the last line observed."""
+    rows = json_lines(spark, path, "revision_id string, line int, signature string").where("revision_id IS NOT NULL")
+    return rows.groupBy(F.col("revision_id").alias("rev")).agg(F.count(F.lit(1)).alias("n"), F.max_by("signature", "line").alias("last"))
+
+
+def record_counts(spark: SparkSession, path: str, start: str = "#DONE2|") -> DataFrame:
+    """One row (n_records, n_continued, n_orphans) of a raw log: records, lines that continue one, and lines before the first."""
+    whole = spark.read.option("lineSep", "\n" + start).text(path)
+    first = F.col("value").startswith(start)
+    n_lines = F.size(F.split(F.regexp_replace("value", r"[\r\n]+$", ""), "\n"))
+    # Only what stands before a file's first mark begins without it and isn't followed by the fields of a record.
+    record = first | F.col("value").rlike(r"^\d+\|")
+    return whole.where("value <> ''").agg(F.count_if(record).alias("n_records"), F.coalesce(F.sum(F.when(record, n_lines - 1)), F.lit(0)).alias("n_continued"), F.coalesce(F.sum(F.when(~record, n_lines)), F.lit(0)).alias("n_orphans"))

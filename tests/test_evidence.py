@@ -122,3 +122,27 @@ def test_saves_need_page_second_and_label(spark):
     reads = spark.createDataFrame([(1, "Ada", 3), (2, "Bee", 3), (3, "Ada", 30)], "read int, name string, t long")
     assert [tuple(x) for x in exposure.with_basis(reads, s, read="read").collect()] == [(1, "Ada", 3, "w1", "own")]
     assert exposure.with_basis(reads, s, read="read", bases=("private2",)).count() == 0
+
+
+def test_agents_within_against_loops(spark):
+    r = random.Random(5)
+    points = [(i, r.choice("abcd"), r.randrange(300)) for i in range(80)] + [(99, "a", None)]
+    marks = [(r.choice("abcde"), r.randrange(300)) for _ in range(40)] + [(None, 5), ("a", None)]
+    p, m = spark.createDataFrame(points, "i int, who string, t long"), spark.createDataFrame(marks, "who string, t long")
+    for lo, hi in ((-20, -1), (0, 15), (-7, 9), (0, 0)):
+        got = {x.i: (x.own, x.others) for x in exposure.agents_within(p, m, point_id="i", agent="who", time="t", lo=lo, hi=hi).collect()}
+        near = {i: {w for w, u in marks if w and u is not None and t + lo <= u <= t + hi} for i, _, t in points if t is not None}
+        assert got == {i: (int(a in near[i]), len(near[i] - {a})) for i, a, t in points if t is not None}
+
+
+def test_values_at_ranks(spark):
+    from strandline.operators.stats import at_ranks
+
+    r = random.Random(2)
+    rows = [(r.choice("xyz"), r.choice([r.uniform(-3, 9), 4.0, 4.0])) for _ in range(300)] + [("w", 1.0), ("w", None), (None, 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    from pyspark.sql import functions as F
+
+    got = {x.k: (x.lo, x.up) for x in at_ranks(df, by="k", value="v", ranks={"lo": F.lit(1), "up": F.floor(F.col("n") / 2) + 1}).collect()}
+    values = {k: sorted(v for g, v in rows if g == k and v is not None) for k in "wxyz"}
+    assert got == {k: (v[0], v[len(v) // 2]) for k, v in values.items()}

@@ -79,3 +79,39 @@ def test_streams(spark, tmp_path):
     got = spark.sql("SELECT k, CAST(start AS string) AS s, n_events FROM s1").collect()
     assert ("a", "2024-01-01 00:00:00", 2) in [tuple(r) for r in got]
     assert spark.sql("SELECT sum(n) FROM s2").first()[0] == 4 and spark.sql("SELECT count(*) FROM s3").first()[0] == 2
+
+
+def test_csv_summary_report_zip_and_observations(spark, tmp_path):
+    import json
+    import zipfile
+
+    df = spark.createDataFrame([("b", 2, 1.5), ("a", None, None), ('q "x", y', 3, 2.0)], "k string, n int, v double")
+    sinks.write_csv(df.coalesce(1), str(tmp_path / "csv"), ["n", "k"])
+    text = next((tmp_path / "csv").glob("*.csv")).read_text()
+    assert text.splitlines() == ["n,k", "2,b", ",a", '3,"q ""x"", y"']
+    sinks.write_summary({"rows": df.select("k", "n"), "total": df.groupBy().sum("n").withColumnRenamed("sum(n)", "n")}, str(tmp_path / "sum"))
+    got = json.loads(next((tmp_path / "sum").glob("*.txt")).read_text())
+    assert got["total"] == {"n": 5} and len(got["rows"]) == 3
+    with pytest.raises(ValueError):
+        sinks.write_summary({"rows": df}, str(tmp_path / "no"), most=2)
+    assert sinks.report(df.orderBy("k").select("k", "n")).splitlines() == ["k         n", "a         -", "b         2", 'q "x", y  3']
+    with pytest.raises(ValueError):
+        sinks.report(df, most=2)
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("rows.jsonl", '{"rev_id": "p@1", "seq": 1}\n\n{"rev_id": "p@2", "seq": 2, "other": 1}\n')
+        z.writestr("more.jsonl", '{"rev_id": "x"}')
+    assert sorted(map(tuple, readers.zip_lines(spark, str(tmp_path / "a.zip"), "rows.jsonl", "rev_id string, seq int").collect())) == [("p@1", 1), ("p@2", 2)]
+    assert readers.zip_lines(spark, str(tmp_path / "a.zip"), "none.jsonl", "rev_id string").count() == 0
+    (tmp_path / "obs.jsonl").write_text('{"revision_id": "r", "line": 2, "signature": "B"}\n{"revision_id": "r", "line": 1, "signature": "A"}\n{"line": 3}\n')
+    assert [tuple(x) for x in readers.observations(spark, str(tmp_path / "obs.jsonl")).collect()] == [("r", 2, "B")]
+    (tmp_path / "raw.log").write_text("lost\nlines\n#DONE2|1|UT|a\nmore\n#DONE2|1|UT|b\n")
+    assert tuple(readers.record_counts(spark, str(tmp_path / "raw.log")).first()) == (2, 1, 2)
+
+
+def test_queries_are_written_in_one_form(spark):
+    from strandline.functions import web
+
+    df = spark.createDataFrame([("/x?b=%41+c&text=secret&_=1&amp;d=%zz&e=",), (None,)], "u string")
+    assert [r[0] for r in df.select(web.kept_query(web.pairs(F.col("u")))).collect()] == ["b=A+c&d=%25zz&e=", None]
+    ips = spark.createDataFrame([("10.1.2.3",), ("2001:db8::1",), ("x",), (None,), ("::ffff:1.2.3.4",)], "ip string")
+    assert [r[0] for r in ips.select(web.network(F.col("ip"))).collect()] == ["10.1.2.0/24", "2001:db8::/48", None, None, "::/48"]
