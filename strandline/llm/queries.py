@@ -142,6 +142,15 @@ WITH e AS (SELECT rev, min(text) AS text FROM edits WHERE text IS NOT NULL GROUP
 g AS (SELECT rev, substring(text, CAST(i AS BIGINT), 160) AS s FROM e, unnest(generate_series(1, length(text) - 159)) AS u(i) WHERE length(text) >= 160),
 h AS (SELECT rev, s FROM g WHERE s IN (SELECT s FROM g GROUP BY s HAVING count(DISTINCT rev) > 1))
 SELECT DISTINCT a.rev AS rev_a, b.rev AS rev_b FROM h a JOIN h b ON a.s = b.s AND a.rev < b.rev""",
+    "p6_shared": """
+WITH e AS (SELECT rev, min(text) AS text FROM edits WHERE text IS NOT NULL GROUP BY rev),
+c AS (SELECT text, min(rev) AS rep, count(*) AS n_copies FROM e WHERE length(text) >= 160 GROUP BY text),
+g AS (SELECT rep, i, substring(text, CAST(i AS BIGINT), 160) AS s FROM c, unnest(generate_series(1, length(text) - 159)) AS u(i)),
+h AS (SELECT * FROM g WHERE s IN (SELECT s FROM g GROUP BY s HAVING count(DISTINCT rep) > 1)),
+l AS (SELECT a.rep, count(DISTINCT b.rep) AS n_links FROM h a JOIN h b ON a.s = b.s AND a.rep <> b.rep GROUP BY 1),
+k AS (SELECT rep, sum(least(160, coalesce(next - i, 160))) AS n FROM (SELECT rep, i, lead(i) OVER (PARTITION BY rep ORDER BY i) AS next FROM h) GROUP BY 1)
+SELECT e.rev, c.rep AS class_id, n_copies, coalesce(n_links, 0) AS n_links, CAST(CASE WHEN n_copies > 1 THEN length(c.text) ELSE coalesce(k.n, 0) END AS INTEGER) AS shared_chars, CASE WHEN n_copies > 1 THEN length(c.text) ELSE coalesce(k.n, 0) END / length(c.text)::DOUBLE AS shared_share
+FROM e JOIN c USING (text) LEFT JOIN l ON l.rep = c.rep LEFT JOIN k ON k.rep = c.rep""",
     "p9_found": r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '\p{Cf}', '', 'g')), '[\p{L}\p{N}]+') AS words FROM documents WHERE text IS NOT NULL),
