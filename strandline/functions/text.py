@@ -112,3 +112,8 @@ def variants(text: Column, table: dict[str, str]) -> Column:
 def shingles(words: Column, n: int) -> Column:
     """Runs of n words joined by spaces; none if there are fewer."""
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def shingle_hashes(words: Column, n: int) -> Column:
+    """A 64-bit hash of each run of n words; none if there are fewer. No run is ever written out as a text."""
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n)))).otherwise(F.array().cast("array<bigint>"))

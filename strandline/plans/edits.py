@@ -175,8 +175,7 @@ def shared_shingles(spark: SparkSession, sf: str) -> DataFrame:
     e = edits(spark, sf, "page_key", "text").where("text IS NOT NULL AND t IS NOT NULL")
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9]+"), 0)
     # Shingles travel as hashes of 64 bits: two of them would have to share one to be taken for each other.
-    hashes = F.transform(tx.shingles(words, 8), lambda s: F.xxhash64(s))
-    each = e.select("rev", "page_key", "t", F.explode(F.array_distinct(hashes)).alias("s"))
+    each = e.select("rev", "page_key", "t", words.alias("w")).select("rev", "page_key", "t", F.explode(F.array_distinct(tx.shingle_hashes(F.col("w"), 8))).alias("s"))
     rare = each.groupBy("s", "page_key").agg(F.min("t").alias("t")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first")).where("n BETWEEN 2 AND 3")
     origin = each.join(rare.select("s", "first"), "s")
     early = origin.where("t = first").groupBy("s").agg(F.collect_set("page_key").alias("pages"))  # three at most

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import times
 from strandline.operators import band, exposure, matching, stats, windows
+from strandline.operators.lineage import durable
 from strandline.operators.sessions import sessionize
 from strandline.sources.tables import table
 
 #: Exposure counts for half an hour; strata are six hours.
 EXPOSURE_S, STRATUM_S = 1_800, 21_600
+#: Spans of the exposure windows that are compared.
+WINDOWS_S = (600, 1_800, 3_600)
 #: Shuffles of a permutation test, and trials of its calibration.
 SHUFFLES, TRIALS = 2_000, 20
 
@@ -51,11 +56,11 @@ def at_risk(spark: SparkSession, sf: str) -> DataFrame:
     return stats.at_risk(events(spark, sf), agent="user_id", time="t", outcome=F.col("event_type") == "purchase", tie="event_id").select("event_id", "user_id", "t", "event_type")
 
 
-def exposure_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """At-risk rows with ``exposed``: an error of another user in the half hour before."""
+def exposure_rows(spark: SparkSession, sf: str, lo: int = -EXPOSURE_S, hi: int = -1) -> DataFrame:
+    """At-risk rows with ``exposed``: an error of another user in [t + lo, t + hi]: the half hour before."""
     e = events(spark, sf)
     rows = stats.at_risk(e, agent="user_id", time="t", outcome=F.col("event_type") == "purchase", tie="event_id").select(F.col("event_id").alias("__row"), "user_id", "t", "event_type")
-    near = exposure.agents_within(rows.select("__row", "user_id", "t"), e.where("event_type = 'error'").select("user_id", "t"), point_id="__row", agent="user_id", time="t", lo=-EXPOSURE_S, hi=-1)
+    near = exposure.agents_within(rows.select("__row", "user_id", "t"), e.where("event_type = 'error'").select("user_id", "t"), point_id="__row", agent="user_id", time="t", lo=lo, hi=hi)
     return rows.join(near, "__row", "left").select(F.col("__row").alias("event_id"), "user_id", "t", F.coalesce(F.col("others") > 0, F.lit(False)).alias("exposed"), (F.col("event_type") == "purchase").alias("bought"), F.floor(F.col("t") / STRATUM_S).alias("stratum"))
 
 
@@ -70,6 +75,18 @@ def exposure_mh(spark: SparkSession, sf: str) -> DataFrame:
     return mh.select("n_strata", *[F.round(c, 6).alias(c) for c in ("odds_ratio", "ci_low", "ci_high")])
 
 
+def exposure_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for windows of 10 minutes, half an hour and an hour before, and after as a placebo, in strata of six hours and of the day's user group."""
+    out = []
+    for span in WINDOWS_S:
+        for side, lo, hi in (("past", -span, -1), ("future", 1, span)):
+            rows = durable(exposure_rows(spark, sf, lo, hi).withColumn("group", F.pmod("user_id", F.lit(3))))
+            for name, stratum in (("hours", ["stratum"]), ("hours and group", ["stratum", "group"])):
+                mh = stats.mantel_haenszel(stats.strata_counts(rows, stratum=stratum, exposed="exposed", outcome="bought"))
+                out.append(mh.select(F.lit(side).alias("side"), F.lit(span).alias("span_s"), F.lit(name).alias("strata"), "n_strata", *[F.coalesce(F.round(c, 6), F.lit(-1.0)).alias(c) for c in ("odds_ratio", "ci_low", "ci_high")]))
+    return reduce(DataFrame.unionByName, out)
+
+
 def asof_purchase(spark: SparkSession, sf: str) -> DataFrame:
     """The last purchase of the user at or before each view."""
     e = events(spark, sf)
@@ -191,7 +208,7 @@ def bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "events_sessions": sessions, "events_session_peaks": session_peaks, "events_type_hours": type_hours, "events_first_use": first_use, "events_at_risk": at_risk, "events_exposure_strata": exposure_strata,
-    "events_exposure_mh": exposure_mh, "events_asof": asof_purchase, "events_asof_anti": asof_not_after_error, "events_interval_session": purchase_session, "events_nearest_error": nearest_error,
+    "events_exposure_mh": exposure_mh, "events_exposure_windows": exposure_windows, "events_asof": asof_purchase, "events_asof_anti": asof_not_after_error, "events_interval_session": purchase_session, "events_nearest_error": nearest_error,
     "events_switches": type_switches, "events_dominant_type": dominant_type, "events_loo_accuracy": loo_accuracy, "events_props": props, "events_latest_state": latest_state, "events_three_medians": three_medians,
     "events_permutation": permutation, "events_calibration": calibration, "events_bootstrap": bootstrap,
 }
@@ -209,7 +226,18 @@ g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 1
 n AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no FROM g),
 s AS (SELECT user_id, session_no, min(t) AS start_s, max(t) AS end_s, max(t) - min(t) AS duration_s, count(*) AS n_events FROM n GROUP BY 1, 2)"""
 
+def _window_sql(side: str, span: int, name: str) -> str:
+    lo, hi = (f"k.t - {span}", "k.t - 1") if side == "past" else ("k.t + 1", f"k.t + {span}")
+    by = "k.t // 21600" if name == "hours" else "(k.t // 21600) * 3 + k.user_id % 3"
+    return f"""SELECT '{side}' AS side, {span} AS span_s, '{name}' AS strata, count(*) AS n_strata, sum(a * d / n) AS r, sum(b * c / n) AS q, sum((a + d) / n * (a * d / n)) AS pr, sum((a + d) / n * (b * c / n) + (b + c) / n * (a * d / n)) AS mixed, sum((b + c) / n * (b * c / n)) AS qs FROM (
+SELECT *, a + b + c + d AS n FROM (SELECT z, count(*) FILTER (ex AND y) AS a, count(*) FILTER (ex AND NOT y) AS b, count(*) FILTER (NOT ex AND y) AS c, count(*) FILTER (NOT ex AND NOT y) AS d FROM (
+SELECT {by} AS z, k.event_type = 'purchase' AS y, EXISTS (SELECT 1 FROM e o WHERE o.event_type = 'error' AND o.user_id <> k.user_id AND o.t BETWEEN {lo} AND {hi}) AS ex FROM k) GROUP BY 1)) WHERE n >= 2 AND a + b > 0 AND c + d > 0"""
+
+
 ORACLE = {
+    "events_exposure_windows": _RISK + ", v AS (" + " UNION ALL ".join(_window_sql(side, span, name) for span in WINDOWS_S for side in ("past", "future") for name in ("hours", "hours and group")) + """),
+w AS (SELECT *, r / nullif(q, 0) AS o, exp(1.96 * sqrt(pr / (2 * r * r) + mixed / (2 * r * q) + qs / (2 * q * q))) AS h FROM v)
+SELECT side, span_s, strata, n_strata, coalesce(round(o, 6), -1) AS odds_ratio, coalesce(round(o / h, 6), -1) AS ci_low, coalesce(round(o * h, 6), -1) AS ci_high FROM w""",
     "events_sessions": _SESS + " SELECT * FROM s",
     "events_session_peaks": _E + """,
 p AS (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS n FROM e),
