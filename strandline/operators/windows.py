@@ -6,32 +6,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Seconds of a time bucket: the unit by which a hot key is split.
+BUCKET_S = 86_400
+
+
+def _in_buckets(points: DataFrame, time: str, span_s: int) -> DataFrame:
+    """points with ``__b``, their time bucket, and once more with ``__own`` false in the next one if they lie within ``span_s`` of it: a window over (key, bucket) then sees all that a point's span holds."""
+    width = max(BUCKET_S, span_s)
+    b = F.floor(F.col(time) / width)
+    late = F.col(time) > (b + 1) * width - span_s
+    places = F.when(late, F.array(F.struct(b.alias("__b"), F.lit(True).alias("__own")), F.struct((b + 1).alias("__b"), F.lit(False).alias("__own")))).otherwise(F.array(F.struct(b.alias("__b"), F.lit(True).alias("__own"))))
+    return points.select("*", F.inline(places))
+
+
 def peak_count(events: DataFrame, *, by: list[str], time: str, span_s: int) -> DataFrame:
     """(*by, peak): the most events of a group in any ``span_s`` seconds. Times are bigint seconds.
 
-    Equal times are counted first, so that the frame runs over seconds and not over rows.
+    Equal times are counted first, so that the frame runs over seconds and not over rows; a group's seconds are split by time buckets.
     """
     points = events.where(F.col(time).isNotNull()).groupBy(*by, time).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by).orderBy(time).rangeBetween(-(span_s - 1), 0)
-    return points.withColumn("n", F.sum("n").over(w)).groupBy(*by).agg(F.max("n").alias("peak"))
+    w = Window.partitionBy(*by, "__b").orderBy(time).rangeBetween(-(span_s - 1), 0)
+    return _in_buckets(points, time, span_s).withColumn("n", F.sum("n").over(w)).where("__own").groupBy(*by).agg(F.max("n").alias("peak"))
 
 
 def peak_distinct(events: DataFrame, *, by: list[str], time: str, value: str, span_s: int) -> DataFrame:
     """(*by, peak): the most different values of a group in any ``span_s`` seconds; nulls are left out."""
     points = events.where(F.col(time).isNotNull() & F.col(value).isNotNull()).select(*by, time, value).distinct()
-    w = Window.partitionBy(*by).orderBy(time).rangeBetween(-(span_s - 1), 0)
-    return points.withColumn("n", F.size(F.collect_set(value).over(w))).groupBy(*by).agg(F.max("n").alias("peak"))
+    w = Window.partitionBy(*by, "__b").orderBy(time).rangeBetween(-(span_s - 1), 0)
+    return _in_buckets(points, time, span_s).withColumn("n", F.size(F.collect_set(value).over(w))).where("__own").groupBy(*by).agg(F.max("n").alias("peak"))
 
 
 def switches(events: DataFrame, *, agent: str, time: str, tie: str, value: str) -> DataFrame:
     """(agent, n_events, n_switches, n_new): how often an agent's value differs from its last one, and how often it is one it never used.
 
-    First uses are an aggregate; only the last value needs an order within the agent.
+    First uses are an aggregate. Rows are put in order within the agent's time buckets only; a bucket's first row gets the last value of the buckets before.
     """
-    rows = events.where(F.col(value).isNotNull())
-    order = Window.partitionBy(agent).orderBy(time, tie)
-    changed = rows.withColumn("__last", F.lag(value).over(order)).groupBy(agent).agg(
-        F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("__last").isNotNull() & (F.col("__last") != F.col(value))).alias("n_switches"))
+    rows = events.where(F.col(value).isNotNull() & F.col(time).isNotNull()).withColumn("__b", F.floor(F.col(time) / BUCKET_S))
+    ends = rows.groupBy(agent, "__b").agg(F.max(F.struct(F.col(time).alias("t"), F.col(tie).alias("i"), F.col(value).alias("v"))).alias("__e"))
+    before = Window.partitionBy(agent).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(agent, "__b", F.max("__e").over(before)["v"].alias("__carried"))
+    order = Window.partitionBy(agent, "__b").orderBy(time, tie)
+    last = F.coalesce("__last", "__carried")
+    changed = rows.withColumn("__last", F.lag(value).over(order)).join(carry, [agent, "__b"]).groupBy(agent).agg(F.count(F.lit(1)).alias("n_events"), F.count_if(last.isNotNull() & (last != F.col(value))).alias("n_switches"))
     new = rows.groupBy(agent).agg((F.countDistinct(value) - 1).alias("n_new"))
     return changed.join(new, agent)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import times
 from strandline.operators import windows
+from strandline.operators.band import asof_backward
+from strandline.operators.exposure import running_total
 from strandline.operators.rows import once
 from strandline.sources.tables import table
 
@@ -56,9 +58,11 @@ def last_cuts(spark: SparkSession, sf: str) -> DataFrame:
     """Each page's revisions cut before every deletion, numbered from 1."""
     e = once(table(spark, sf, "edits"), "rev", {"page_key": F.col("page_key"), "t": times.iso_seconds(F.col("time"))})
     d = table(spark, sf, "page_events").where("event_type = 'delete'").select("page_key", times.iso_seconds(F.col("time")).alias("t")).distinct()
-    rows = e.select("page_key", "t", "rev", F.lit(0).alias("cut")).unionByName(d.select("page_key", "t", F.lit(None).cast("string").alias("rev"), F.lit(1).alias("cut")))
-    w = Window.partitionBy("page_key").orderBy("t", "cut", "rev")
-    return rows.withColumn("part", F.sum("cut").over(w) + 1).where("rev IS NOT NULL").groupBy("page_key", "part").agg(F.count(F.lit(1)).alias("n"))
+    # Deletions of a page up to the second before a revision, counted as-of: a hot page's revisions are never put in order.
+    total = running_total(d.withColumn("n", F.lit(1)), by="page_key", at="t", value="n").withColumnRenamed("t", "at")
+    e = e.where("page_key IS NOT NULL AND t IS NOT NULL")
+    before = asof_backward(e.select("rev", "page_key", (F.col("t") - 1).alias("just_before")), total, key="page_key", left_id="rev", left_time="just_before", right_time="at", values={"n_cuts": F.col("total")})
+    return e.join(before.select("rev", "n_cuts"), "rev", "left").groupBy("page_key", (F.coalesce("n_cuts", F.lit(0)) + 1).alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {

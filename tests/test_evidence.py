@@ -146,3 +146,22 @@ def test_values_at_ranks(spark):
     got = {x.k: (x.lo, x.up) for x in at_ranks(df, by="k", value="v", ranks={"lo": F.lit(1), "up": F.floor(F.col("n") / 2) + 1}).collect()}
     values = {k: sorted(v for g, v in rows if g == k and v is not None) for k in "wxyz"}
     assert got == {k: (v[0], v[len(v) // 2]) for k, v in values.items()}
+
+
+def test_windows_across_time_buckets(spark):
+    from strandline.operators import windows
+
+    r = random.Random(9)
+    day = windows.BUCKET_S
+    rows = [(i, r.choice("ab"), day * r.choice([1, 2, 3]) + r.randrange(-40, 40), r.choice("xyz")) for i in range(150)]
+    df = spark.createDataFrame(rows, "i int, k string, t long, v string")
+    for span in (1, 25, 60, day + 30, 3 * day):
+        counts = {k: max(sum(1 for _, g, u, _ in rows if g == k and t - span < u <= t) for _, h, t, _ in rows if h == k) for k in "ab"}
+        kinds = {k: max(len({v for _, g, u, v in rows if g == k and t - span < u <= t}) for _, h, t, _ in rows if h == k) for k in "ab"}
+        assert dict(map(tuple, windows.peak_count(df, by=["k"], time="t", span_s=span).collect())) == counts
+        assert dict(map(tuple, windows.peak_distinct(df, by=["k"], time="t", value="v", span_s=span).collect())) == kinds
+    want = {}
+    for k in "ab":
+        vs = [v for _, _, v in sorted((t, i, v) for i, g, t, v in rows if g == k)]
+        want[k] = (len(vs), sum(x != y for x, y in zip(vs, vs[1:])), len(set(vs)) - 1)
+    assert {x.k: (x.n_events, x.n_switches, x.n_new) for x in windows.switches(df, agent="k", time="t", tie="i", value="v").collect()} == want
