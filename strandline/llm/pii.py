@@ -37,8 +37,8 @@ OFFSETS = (-4, -3, -2, -1, 0, 1, 2, 3)
 HIDDEN = 0.25
 #: Token forms whose scores a worker remembers; beyond, it forgets all and starts anew.
 MEMO = 200_000
-#: Texts that are decoded together.
-BATCH = 512
+#: Texts, and characters of them, that are decoded together; a longer text is decoded alone.
+BATCH, BATCH_CHARS = 512, 1 << 20
 
 _NUMBER = re.compile(r"[(+]{0,2}[A-Z]{0,6}\d[A-Z\d]*(?:(?:[ \-./]{1,2}|\) ?| ?\()(?:[A-Z]{0,4}\d[A-Z\d]*|[A-Z]{1,4})(?![a-z]))*")
 _AT = r"(?:@|%40|\s@\s|\s?[(\[{]\s?(?:at|@)\s?[)\]}]\s?|\sat\s)"
@@ -460,9 +460,13 @@ def spans_of(text: str, begins: np.ndarray, ends: np.ndarray, path: np.ndarray)
 
 def find_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, str]]]:
     """The personal information in each text, by Viterbi in batches."""
-    out = []
-    for begin in range(0, len(texts), BATCH):
-        chunk = texts[begin : begin + BATCH]
+    out, begin = [], 0
+    while begin < len(texts):
+        end, size = begin + 1, len(texts[begin])
+        while end < len(texts) and end - begin < BATCH and size + len(texts[end]) <= BATCH_CHARS:
+            size += len(texts[end])
+            end += 1
+        chunk, begin = texts[begin:end], end
         parsed = Parsed(chunk)
         path = field.decode(field.emissions(parsed), *parsed.lines)
         for text, (lo, hi, at) in zip(chunk, parsed.places):
