@@ -38,7 +38,7 @@ def signer(line: Column) -> Column:
 
 
 def camel_spaced(text: Column) -> Column:
-    """Camel case with spaces between its words."""
+    """Camel case with spaces between its words; the pattern is a fixed value."""
     return F.regexp_replace(text, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
 
 
